@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.session import table
 
-from . import nearest
+from . import leakage, mixing, nearest, spans
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,43 @@ def p2_speech_context(spark: SparkSession, d: str) -> DataFrame:
     return nearest.speech_context(table(spark, d, "ocr_event"), table(spark, d, "transcript_segment")).select("event_id", "segment_id", "speech_context")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.sizes(table(spark, d, "documents"), table(spark, d, "lang_sample"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.supply(_sizes(spark, d), table(spark, d, "mix_target")).filter("stays_under").select("source_name")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(_sizes(spark, d), table(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    mix = table(spark, d, "mix_target")
+    return mixing.actual_shares(mixing.draw(_sizes(spark, d), mix), mix)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.found_pairs(table(spark, d, "documents"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))[0].select("doc_a", "doc_b", "a_start", "b_start", "length")
+
+
+def p8_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"))
+
+
 _P2 = """
 WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event WHERE timestamp_s IS NOT NULL),
      s AS (SELECT DISTINCT segment_id, video_id, text, start_s AS a, greatest(start_s, coalesce(end_s, start_s)) AS b
@@ -28,9 +65,14 @@ WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event W
            FROM e JOIN s ON e.video_id = s.video_id AND a <= t + 10 AND b >= t - 10)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_speech_context": p2_speech_context}
+_NAMED = (p2_found, p2_speech_context, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_shared_share)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 SQL: dict[str, str] = {
     "p2_found": _P2 + "SELECT event_id, segment_id FROM p WHERE k = 1",
+    "p7_found": """
+WITH d AS (SELECT regexp_replace(lower(trim(source)), '[\\s\\-_]+', '_', 'g') AS s, length(text) AS n FROM documents)
+SELECT m.source_name FROM mix_target m LEFT JOIN (SELECT s, sum(n) AS n FROM d GROUP BY s) x ON x.s = m.source_name
+WHERE coalesce(x.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM d)""",
     "p2_speech_context": _P2 + "SELECT event_id, segment_id, text AS speech_context FROM p WHERE k = 1",
 }
