@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.session import table
 
-from . import leakage, mixing, nearest, spans
+from . import language, leakage, mixing, nearest, repetition, spans
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,22 @@ def p2_speech_context(spark: SparkSession, d: str) -> DataFrame:
     return nearest.speech_context(table(spark, d, "ocr_event"), table(spark, d, "transcript_segment")).select("event_id", "segment_id", "speech_context")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.stuck_texts(table(spark, d, "transcript"), table(spark, d, "transcript_segment"))
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetition(table(spark, d, "transcript"), table(spark, d, "transcript_segment"), gated=False)
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_labels(*(table(spark, d, t) for t in ("video_metadata", "transcript_segment", "documents", "lang_sample")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_labels(spark, d).filter("is_wrong").select("item_kind", "item_id", "lang")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
@@ -65,7 +81,7 @@ WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event W
            FROM e JOIN s ON e.video_id = s.video_id AND a <= t + 10 AND b >= t - 10)
 """
 
-_NAMED = (p2_found, p2_speech_context, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_shared_share)
+_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p5_found, p5_labels, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_shared_share)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 SQL: dict[str, str] = {
