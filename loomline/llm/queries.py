@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.session import table
 
-from . import language, leakage, mixing, nearest, repetition, spans
+from . import language, leakage, mixing, nearest, repetition, scans, spans
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "transcript"), table(spark, d, "transcript_segment"), gated=False)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(table(spark, d, "ocr_event"))
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.clean_paragraphs(table(spark, d, "ocr_event"))
+
+
 def p5_labels(spark: SparkSession, d: str) -> DataFrame:
     return language.language_labels(*(table(spark, d, t) for t in ("video_metadata", "transcript_segment", "documents", "lang_sample")))
 
@@ -81,7 +89,7 @@ WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event W
            FROM e JOIN s ON e.video_id = s.video_id AND a <= t + 10 AND b >= t - 10)
 """
 
-_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p5_found, p5_labels, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_shared_share)
+_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_shared_share)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 SQL: dict[str, str] = {
