@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from loomline.plans import general
+from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = (general,)
+from loomline.operators import fusion, search
+from loomline.plans import general, timeline
+
+_MODULES = (general, timeline)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The fused timeline, each screen event with the speech around it, searched for a word."""
+    fused = timeline.timeline(spark, d)
+    context = timeline.speech_context_bucketed(spark, d)
+    found = search.search(fused, "between")
+    return found.join(context, ["video", "seq"], "left").orderBy("video", "timestamp", "seq")
