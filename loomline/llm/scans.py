@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from loomline.operators.grouped import map_groups
 from loomline.session import materialize
 
+from .words import LINE_HYPHENS
+
 #: What scanners take characters for: (true, read).
 CONFUSIONS = (
     ("e", "c"), ("a", "@"), ("t", "f"), ("i", "l"), ("i", "1"), ("s", "5"), ("l", "1"), ("o", "0"), ("g", "9"), ("b", "6"),
@@ -50,9 +53,10 @@ BROADCAST_WORDS = 1_000_000
 FRAMES_PER_RANGE = 30_000
 FRAMES_MARGIN = 10_000
 
-_HYPHEN = regex.compile(r"(\p{L}[\p{L}\p{M}@\d]*)[-‐‑¬­]\s*$")
+_HYPHEN = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{M}}@\d]*+)[{LINE_HYPHENS}]\s*$")
 _STARTS_LOW = regex.compile(r"^\s*(\p{Ll}[\p{L}\p{M}@\d]*)")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@]+")
+_TOKEN_ASCII = re.compile(r"[A-Za-z0-9@]+")
 _NUMERAL = r"(?:[\dlOoI|]{1,5})"
 _ROMAN = r"x{0,3}(?:[il1]x|[il1]v|v?[il1]{0,3})"
 _PAGE = regex.compile(rf"^[\W_]*(?:(?:page|p\.|pg\.?|slide|s[l1i]ide|folio|seite|folie|página|pagina|diapositiva)\s*)?{_NUMERAL}(?:\s*(?:/|of|von|de|sur)\s*{_NUMERAL})?[\W_]*$|^[\s\-–—\[\]()]*(?=[xvil1]){_ROMAN}[\s\-–—\[\]()]*$", regex.I)
@@ -61,6 +65,8 @@ _NOT_PAGE = regex.compile(r"\d[.,:]\s*\d|[%€$]")
 _ENDS = regex.compile(r"[.?!,;:…][\s\-–—]*$")
 _DIGITS = regex.compile(r"\d+")
 _TAIL_NUMBER = regex.compile(r"\s*[|·—–-]\s*[\dlOoI]+\s*$")
+#: No line of _CODE is without one of these signs or a statement's first word.
+_CODE_SIGN = re.compile(r"[{};$=(]|\b(?:return|SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|JOIN)\b|:\s*$", re.M)
 _CODE = regex.compile(
     r"[{};]\s*$|^\s*\$ |=>|^\s*(?:def|class|return|import|from|for|while|if|public|private|const|let|var|function)\b.*[:(){};=]\s*|^\s*return\b|^\s*(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|JOIN)\b|^\s*[\w.\[\]]+ = \S|\w\(.*\)\s*$"
 )
@@ -74,6 +80,8 @@ def is_page(line: str) -> bool:
 def is_code(text: str, flag: bool | None) -> bool:
     if flag:
         return True
+    if not _CODE_SIGN.search(text):
+        return False
     lines = [x for x in text.split("\n") if x.strip()]
     return bool(lines) and sum(bool(_CODE.search(x)) for x in lines) * 2 > len(lines)
 
@@ -115,15 +123,24 @@ def _base(events: DataFrame) -> DataFrame:
 def whole_words(text: str) -> Iterator[tuple[int, str]]:
     """(line_pos, lower-case word) of all words that aren't halves of one cut at a line end."""
     held = False
-    for pos, line in enumerate(text.split("\n")):
-        words = _TOKEN.findall(line)
+    find = (_TOKEN_ASCII if text.isascii() else _TOKEN).findall
+    for pos, line in enumerate(text.lower().split("\n")):
+        words = find(line)
         if held and words:
-            words = words[1:]
-        held = bool(_HYPHEN.search(line))
+            del words[0]
+        held = cut_word(line) is not None
         if held and words:
-            words = words[:-1]
+            words.pop()
         for w in words:
-            yield pos, w.lower()
+            yield pos, w
+
+
+def cut_word(line: str) -> str | None:
+    """The letters before a hyphen at the line end."""
+    if line.rstrip()[-1:] not in LINE_HYPHENS:
+        return None
+    found = _HYPHEN.search(line)
+    return found.group(1) if found else None
 
 
 def vocabulary(events: DataFrame) -> DataFrame:
@@ -313,39 +330,32 @@ def word_noise(events: DataFrame, words: DataFrame, wrong: DataFrame) -> tuple[D
     n_wrong = wrong.count()
     fixes = spark.sparkContext.broadcast({r["word"]: r["fix"] for r in wrong.collect()}) if n_wrong <= BROADCAST_WORDS else None
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = fixes.value if fixes is not None else None
         for batch in batches:
-            rows = []
-            for event, _, _, text, flag in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            rows: list[tuple] = []
+            for event, text, flag in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if is_code(text, flag):
                     continue
+                rows += [(event, pos, w, None, None) for pos, w in whole_words(text) if have is None or w in have]
                 lines = text.split("\n")
                 for pos, (line, after) in enumerate(zip(lines, lines[1:])):
-                    if (left := _HYPHEN.search(line)) and (right := _STARTS_LOW.match(after)):
-                        a, b = left.group(1).lower(), right.group(1).lower()
-                        rows.append((event, pos, a, b, a + b))
+                    if (left := cut_word(line)) and (right := _STARTS_LOW.match(after)):
+                        rows.append((event, pos, None, left.lower(), right.group(1).lower()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["event_id", "line_pos", "left", "right", "joined"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.string()] * 3))], names=["event_id", "line_pos", "word", "left", "right"])
 
-    base = _base(events).select(*_BASE)
-    cut = base.mapInArrow(cuts, "event_id bigint, line_pos int, left string, right string, joined string").dropDuplicates(["event_id", "line_pos"])
+    tagged = _base(events).select("event_id", "text", "code_likelihood").mapInArrow(tag, "event_id bigint, line_pos int, word string, left string, right string").distinct()
+    if fixes is not None:
+        tagged = materialize(tagged)
+    cut = tagged.filter("left IS NOT NULL").withColumn("joined", F.concat("left", "right"))
     known = words.filter("n >= 2").select("word")
     joins = cut.join(known.withColumnRenamed("word", "joined").withColumn("is_word", F.lit(True)), "joined", "left")
     for side in ("left", "right"):
         joins = joins.join(known.withColumnRenamed("word", side).withColumn(f"{side}_is_word", F.lit(True)), side, "left")
     cut = joins.filter("is_word IS NOT NULL OR left_is_word IS NULL OR right_is_word IS NULL").select("event_id", "line_pos", "joined")
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = fixes.value if fixes is not None else None
-        for batch in batches:
-            rows = []
-            for event, _, _, text, flag in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if not is_code(text, flag):
-                    rows += [(event, pos, w) for pos, w in whole_words(text) if have is None or w in have]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))], names=["event_id", "line_pos", "word"])
-
-    return cut, base.mapInArrow(tag, "event_id bigint, line_pos int, word string").distinct().join(wrong, "word")
+    return cut, tagged.filter("word IS NOT NULL").select("event_id", "line_pos", "word").join(wrong, "word")
 
 
 def noise_details(events: DataFrame) -> DataFrame:
