@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.functions.fixed import SPACE
 from loomline.session import table
 
 from . import language, leakage, mixing, nearest, repetition, scans, spans
@@ -92,7 +93,18 @@ WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event W
 _NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_shared_share)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
+_P3 = f"""
+WITH t AS (SELECT DISTINCT 'transcript' AS item_kind, transcript_id AS item_id, text FROM transcript WHERE text IS NOT NULL AND transcript_id IS NOT NULL
+  UNION SELECT DISTINCT 'segment', segment_id, text FROM transcript_segment WHERE text IS NOT NULL AND segment_id IS NOT NULL),
+ l AS (SELECT item_kind, item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}{SPACE[1:-1]}]+', '', 'g'), '{SPACE}+'), lambda w: w <> '') AS words FROM t),
+ w AS (SELECT item_kind, item_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM l WHERE len(words) >= 8),
+ g AS (SELECT item_kind, item_id, n, i, [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o] AS gram FROM w WINDOW o AS (PARTITION BY item_kind, item_id ORDER BY i)),
+ f AS (SELECT *, min(i) OVER (PARTITION BY item_kind, item_id, gram) AS first FROM g WHERE i <= n - 3),
+ c AS (SELECT DISTINCT item_kind, item_id, n, unnest([i, i + 1, i + 2, i + 3]) AS at FROM f WHERE i > first)
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": _P3 + "SELECT item_kind, item_id FROM c GROUP BY item_kind, item_id, n HAVING count(*) * 2 >= n",
     "p2_found": _P2 + "SELECT event_id, segment_id FROM p WHERE k = 1",
     "p7_found": """
 WITH d AS (SELECT regexp_replace(lower(trim(source)), '[\\s\\-_]+', '_', 'g') AS s, length(text) AS n FROM documents)

@@ -209,9 +209,9 @@ def text_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter((F.length("text") >= span) & F.col("doc_id").isNotNull())
     digest = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.reverse("text"), F.length("text")).alias("b"))
-    keyed = base.select("doc_id", digest.alias("digest"))
-    heads = keyed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_rows"))
-    members = keyed.join(heads, "digest").select("doc_id", "class_id", "n_rows").distinct()
+    keyed = base.select("doc_id", digest.alias("digest")).distinct()
+    heads = keyed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
+    members = keyed.join(heads, "digest").select("doc_id", "class_id", "n_copies")
     return base.dropDuplicates(["doc_id"]), members
 
 
@@ -275,7 +275,7 @@ def shared_share(documents: DataFrame, span: int = 300, **kw) -> DataFrame:
     covered = F.expr("aggregate(spans, named_struct('n', 0, 'to', -1), (acc, x) -> named_struct('n', acc.n + greatest(0, x.e - greatest(x.s, acc.to)), 'to', greatest(acc.to, x.e)), acc -> acc.n)")
     by_class = links.join(spans.select("class_id", covered.alias("covered")), "class_id")
     out = size.join(members, "doc_id", "left").join(by_class, "class_id", "left")
-    has_copy = F.coalesce(F.col("n_rows"), F.lit(1)) > 1
+    has_copy = F.coalesce(F.col("n_copies"), F.lit(1)) > 1
     return out.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
