@@ -21,16 +21,17 @@ def similarity(a: str, b: str) -> float:
     return len(ga & gb) / len(ga | gb)
 
 
-def keep_changed_stream(observations: DataFrame, threshold: float = 0.965, heartbeat: float = 3.0) -> DataFrame:
+def keep_changed_stream(observations: DataFrame, threshold: float = 0.965, heartbeat: float = 3.0, min_chars: int = 4) -> DataFrame:
     """(video, seq, timestamp) kept of a stream of (video, seq, timestamp, text).
 
     Rows of a batch are ordered by time within a video; the state is the last kept row. A row that comes later than a newer one
-    in an earlier batch is judged against what was kept then. Null times are dropped.
+    in an earlier batch is judged against what was kept then. Null times and texts of fewer than min_chars are dropped; a row
+    repeated within a batch counts once.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, text = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).sort_values(["timestamp", "seq"], kind="stable")
+        rows = pd.concat(list(parts)).sort_values(["timestamp", "seq"], kind="stable").drop_duplicates(["timestamp", "seq"])
         kept = []
         for seq, when, norm in zip(rows["seq"], rows["timestamp"], rows["norm"]):
             if at is None or similarity(text, norm) < threshold or when - at >= heartbeat:
@@ -39,7 +40,8 @@ def keep_changed_stream(observations: DataFrame, threshold: float = 0.965, heart
         state.update((at, text))
         yield pd.DataFrame(kept, columns=["video", "seq", "timestamp"])
 
-    rows = observations.filter("timestamp IS NOT NULL").select("video", F.col("seq").cast("long"), "timestamp", normalize_screen_text(F.coalesce("text", F.lit(""))).alias("norm"))
+    rows = observations.filter((F.length(F.trim(F.coalesce("text", F.lit("")))) >= min_chars) & F.col("timestamp").isNotNull())
+    rows = rows.select("video", F.col("seq").cast("long"), "timestamp", normalize_screen_text(F.coalesce("text", F.lit(""))).alias("norm"))
     return rows.groupBy("video").applyInPandasWithState(step, "video string, seq bigint, timestamp double", "at double, text string", "append", GroupStateTimeout.NoTimeout)
 
 
