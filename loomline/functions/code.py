@@ -24,6 +24,7 @@ def is_code_line(line: Column) -> Column:
 
 
 def block_score(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))  # least() would pass over a null count
     hits = _sum([F.least(F.regexp_count(text, F.lit(f"(?dm){p}")), F.lit(5)) * w for p, w in BLOCK_INDICATORS])
     lines = F.split(strip(text), "\n")
     indented = F.size(F.filter(lines, lambda x: x.startswith("  ") | x.startswith("\t"))) / F.size(lines)
