@@ -87,35 +87,48 @@ def playlist_entries(entries: DataFrame, start: int | None = None, end: int | No
     return rows.limit(most) if most is not None else rows
 
 
-def _ordered_text(segments: DataFrame, key: str, piece: Column, joiner: str) -> DataFrame:
-    """Pieces of a key joined in order; a document is bounded by one transcript."""
-    return segments.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", piece.alias("piece")))), lambda x: x["piece"]), joiner).alias("body"))
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def render_srt(segments: DataFrame, key: str) -> DataFrame:
-    """(key, document) of (key, seq, start, end, text); numbers count from 1 in order."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+def _ordered_text(segments: DataFrame, keys: list[str], piece: Column, joiner: str) -> DataFrame:
+    """Pieces joined in order; a document is one transcript, or one part of a recording that with_parts cut."""
+    items = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", piece.alias("piece")))).alias("items"))
+    return items.select(*keys, F.array_join(F.transform("items", lambda x: x["piece"]), joiner).alias("body"))
+
+
+def with_parts(rows: DataFrame, time: str, part_s: float = 3600.0) -> DataFrame:
+    """With the part of the recording that a row lies in, so that no document grows with the recording."""
+    return rows.withColumn("part", F.floor(F.greatest(F.coalesce(time, F.lit(0.0)), F.lit(0.0)) / part_s).cast("int"))
+
+
+def render_srt(segments: DataFrame, key: str | list[str]) -> DataFrame:
+    """(key, document) of (key, seq, start, end, text); numbers count from 1 in each document."""
+    keys = _keys(key)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
     piece = F.concat(F.col("number").cast("string"), F.lit("\n"), format_srt_time("start"), F.lit(" --> "), format_srt_time("end"), F.lit("\n"), strip("text"), F.lit("\n"))
-    return _ordered_text(segments.withColumn("number", number), key, piece, "\n").select(key, F.col("body").alias("document"))
+    return _ordered_text(segments.withColumn("number", number), keys, piece, "\n").withColumnRenamed("body", "document")
 
 
-def render_vtt(segments: DataFrame, key: str) -> DataFrame:
+def render_vtt(segments: DataFrame, key: str | list[str]) -> DataFrame:
     piece = F.concat(format_vtt_time("start"), F.lit(" --> "), format_vtt_time("end"), F.lit("\n"), strip("text"), F.lit("\n"))
-    return _ordered_text(segments, key, piece, "\n").select(key, F.concat(F.lit("WEBVTT\n\n"), "body").alias("document"))
+    return _ordered_text(segments, _keys(key), piece, "\n").select(*_keys(key), F.concat(F.lit("WEBVTT\n\n"), "body").alias("document"))
 
 
-def render_markdown(segments: DataFrame, key: str, title: Column) -> DataFrame:
+def render_markdown(segments: DataFrame, key: str | list[str], title: Column) -> DataFrame:
     """A heading and each segment under its times."""
     piece = F.concat(F.lit("**["), format_time("start"), F.lit(" – "), format_time("end"), F.lit("]**\n\n"), strip("text"), F.lit("\n"))
-    return _ordered_text(segments, key, piece, "\n").select(key, F.concat(F.lit("# "), title, F.lit("\n\n## Timestamped transcript\n\n"), "body").alias("document"))
+    return _ordered_text(segments, _keys(key), piece, "\n").select(*_keys(key), F.concat(F.lit("# "), title, F.lit("\n\n## Timestamped transcript\n\n"), "body").alias("document"))
 
 
-def render_html(timeline: DataFrame, key: str = "video") -> DataFrame:
-    """(key, document): a page with one row per event; a page is bounded by one recording."""
+def render_html(timeline: DataFrame, key: str | list[str] = "video") -> DataFrame:
+    """(key, document): a page with one row per event."""
+    keys = _keys(key)
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     row = F.concat(F.lit("<tr><td>"), format_time("timestamp"), F.lit("</td><td>"), "type", F.lit("</td><td>"), escape(F.coalesce("text", F.lit(""))), F.lit("</td></tr>"))
-    rows = timeline.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "rank", "seq", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
-    return rows.select(key, F.concat(F.lit("<!DOCTYPE html>\n<title>"), escape(F.col(key)), F.lit("</title>\n<table>\n"), "body", F.lit("\n</table>\n")).alias("document"))
+    items = timeline.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("timestamp", "rank", "seq", row.alias("row")))).alias("items"))
+    body = F.array_join(F.transform("items", lambda x: x["row"]), "\n")
+    return items.select(*keys, F.concat(F.lit("<!DOCTYPE html>\n<title>"), escape(F.col(keys[0]).cast("string")), F.lit("</title>\n<table>\n"), body, F.lit("\n</table>\n")).alias("document"))
 
 
 def playlist_index_lines(records: DataFrame) -> DataFrame:

@@ -56,22 +56,21 @@ def context_pieces() -> Column:
     return F.concat(F.lit("["), format_time("start"), F.lit(" → "), format_time(F.coalesce("end", "start")), F.lit("] "), F.coalesce("text", F.lit("")))
 
 
-def speech_context(observations: DataFrame, segments: DataFrame, radius: float = 10.0, range_s: float | None = None) -> DataFrame:
+def speech_context(observations: DataFrame, segments: DataFrame, radius: float = 10.0, range_s: float = 120.0) -> DataFrame:
     """(video, seq, context): all speech whose interval touches [t - radius, t + radius], in transcript order, else ''.
 
-    With ``range_s``, time is cut into ranges of that length: an observation joins on (video, range) and a segment on each
-    range it can touch, so a long or busy video is spread over many equal keys. Without, the join key is the video alone.
+    Time is cut into ranges of ``range_s``: an observation joins on (video, range) and a segment on each range it can touch, so
+    a long or busy video is spread over many equal keys and no key compares all of a video with all. Observations are in one
+    range each, so no pair comes twice.
     """
+    obs = observations.select("video", "seq", F.col("timestamp").alias("t"), F.floor(F.col("timestamp") / range_s).alias("slot"))
+    bounds = obs.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     seg = segments.select("video", F.struct("seq", context_pieces().alias("piece")).alias("item"), F.col("start").alias("s"), F.greatest(F.coalesce("end", "start"), "start").alias("e"))
-    obs = observations.select("video", "seq", F.col("timestamp").alias("t"))
-    keys = ["video"]
-    if range_s:
-        keys.append("slot")
-        obs = obs.withColumn("slot", F.floor(F.col("t") / range_s))
-        seg = seg.withColumn("slot", F.explode(F.sequence(F.floor((F.col("s") - radius) / range_s), F.floor((F.col("e") + radius) / range_s))))
-    o, s = obs.alias("o"), seg.alias("s")
-    same = [F.col(f"o.{k}") == F.col(f"s.{k}") for k in keys]
+    first, last = F.greatest(F.floor((F.col("s") - radius) / range_s), F.col("lo")), F.least(F.floor((F.col("e") + radius) / range_s), F.col("hi"))
+    # one row: a segment with an absurd end isn't spread beyond what is there
+    seg = seg.join(F.broadcast(bounds)).withColumns({"first": first, "last": last}).filter("first <= last").withColumn("slot", F.explode(F.sequence("first", "last")))
+    o, s = obs.alias("o"), seg.select("video", "slot", "item", "s", "e").alias("s")
     near = (F.col("e") >= F.col("t") - radius) & (F.col("s.s") <= F.col("t") + radius)
-    cond = same[0] & near if len(same) == 1 else same[0] & same[1] & near
-    joined = o.join(s, cond, "left").groupBy("o.video", "o.seq").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return joined.select("video", "seq", F.array_join(F.transform("items", lambda x: x["piece"]), " ").alias("context"))
+    joined = o.join(s, (F.col("o.video") == F.col("s.video")) & (F.col("o.slot") == F.col("s.slot")) & near, "left")
+    items = joined.groupBy("o.video", "o.seq").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return items.select("video", "seq", F.array_join(F.transform("items", lambda x: x["piece"]), " ").alias("context"))

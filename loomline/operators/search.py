@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.text import format_time, snippet
@@ -43,5 +43,7 @@ def result_line() -> Column:
 
 def report_lines(results: DataFrame) -> DataFrame:
     """(video, seq, header, line): each result as a line, and the video's heading where it begins."""
-    first = F.row_number().over(Window.partitionBy("video").orderBy("timestamp", "seq")) == 1
-    return results.select("video", "timestamp", "seq", F.when(first, F.concat(F.lit("── "), "video", F.lit(" ──"))).alias("header"), result_line().alias("line"))
+    place = F.struct("timestamp", "seq")
+    first = results.groupBy("video").agg(F.min(place).alias("first"))
+    heading = F.when(place == F.col("first"), F.concat(F.lit("── "), "video", F.lit(" ──")))
+    return results.join(first, "video").select("video", "timestamp", "seq", heading.alias("header"), result_line().alias("line"))

@@ -59,7 +59,7 @@ def keep_changed(observations: DataFrame, similarity: float = 0.965, heartbeat:
 
     Similarity isn't transitive, so the comparison is with the last kept row. But a row that comes ``heartbeat`` or more
     after its neighbour is kept whatever was kept before: each such gap cuts a video into episodes that don't depend on
-    each other. The fold runs over episodes, not over videos.
+    each other. Episodes, not videos, are the streams that workers read in order, with the last kept row as only state.
     """
     norm = normalize_screen_text(F.coalesce("text", F.lit("")))
     rows = observations.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) >= min_chars).select("video", "seq", "timestamp", norm.alias("norm"))
@@ -71,18 +71,45 @@ def keep_changed(observations: DataFrame, similarity: float = 0.965, heartbeat:
     carried = per_slice.withColumn("carry", F.max("top").over(Window.partitionBy("video").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
     inside = Window.partitionBy("video", "slice").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(carried, ["video", "slice"]).withColumn("episode", F.coalesce(F.max("begin").over(inside), F.col("carry")))
-    item = F.struct("timestamp", "seq", "norm", bigrams("norm").alias("grams"))
-    start = "named_struct('kept', cast(array() as array<struct<timestamp:double,seq:bigint>>), 'at', cast(null as double), 'norm', cast(null as string), 'grams', cast(array() as array<string>))"
-
-    def step(acc: Column, x: Column) -> Column:
-        like = gram_similarity(acc["grams"], x["grams"], acc["norm"], x["norm"])
-        take = acc["at"].isNull() | (like < similarity) | (x["timestamp"] - acc["at"] >= heartbeat)
-        kept = F.concat(acc["kept"], F.array(F.struct(x["timestamp"].alias("timestamp"), x["seq"].alias("seq"))))
-        taken = F.struct(kept.alias("kept"), x["timestamp"].alias("at"), x["norm"].alias("norm"), x["grams"].alias("grams"))
-        return F.when(take, taken).otherwise(acc)
-
-    folded = rows.groupBy("video", "episode").agg(F.array_sort(F.collect_list(item)).alias("items")).select("video", F.explode(F.aggregate("items", F.expr(start), step, lambda acc: acc["kept"])).alias("row"))
-    return folded.select("video", F.col("row.seq").alias("seq"), F.col("row.timestamp").alias("timestamp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keeper = object(), None
+        for batch in batches:
+            out: list[tuple] = []
+            for video, begin, at, seq, norm in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (video, begin) != now:
+                    now, keeper = (video, begin), Keeper(similarity, heartbeat)
+                if keeper.offer(at, norm):
+                    out.append((video, seq, at))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.float64()))], names=["video", "seq", "timestamp"])
+
+    rows = rows.select("video", F.col("episode.seq").alias("begin"), "timestamp", "seq", "norm")
+    return rows.repartition("video", "begin").sortWithinPartitions("video", "begin", "timestamp", "seq").mapInArrow(run, "video string, seq bigint, timestamp double")
+
+
+def similarity_of(a: str, b: str) -> float:
+    """Jaccard of character pairs of two normalised texts: 1 when both are empty, 0 when one is."""
+    if a == b or not a or not b:
+        return 1.0 if a == b else 0.0
+    ga, gb = ({x[i : i + 2] for i in range(len(x) - 1)} or {x} for x in (a, b))
+    return len(ga & gb) / len(ga | gb)
+
+
+class Keeper:
+    """The last kept text of a stream and when it was kept."""
+
+    __slots__ = ("at", "text", "similarity", "heartbeat")
+
+    def __init__(self, similarity: float, heartbeat: float, at: float | None = None, text: str | None = None) -> None:
+        self.similarity, self.heartbeat, self.at, self.text = similarity, heartbeat, at, text
+
+    def offer(self, at: float, text: str) -> bool:
+        """Whether this text is kept."""
+        if self.at is None or at - self.at >= self.heartbeat or similarity_of(self.text, text) < self.similarity:
+            self.at, self.text = at, text
+            return True
+        return False
 
 
 def consecutive_similarity(observations: DataFrame, slice_s: float = 600.0) -> DataFrame:

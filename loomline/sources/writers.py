@@ -8,32 +8,33 @@ from pyspark.sql import functions as F
 from loomline.operators import captions
 
 
-def write_documents(documents: DataFrame, path: str, key: str) -> None:
-    """(key, document) as text files under key=<value>; rerunning replaces the same partitions."""
-    documents.select(key, F.col("document").alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+def write_documents(documents: DataFrame, path: str, keys: list[str]) -> None:
+    """(keys, document) as text files under key=<value> folders; rerunning replaces them."""
+    documents.select(*keys, F.col("document").alias("value")).write.mode("overwrite").partitionBy(*keys).option("lineSep", "\n").text(path)
 
 
 def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
-def transcript_documents(segments: DataFrame, key: str) -> DataFrame:
-    """(key, document): one pretty JSON object {segments: [...]} per key."""
-    item = F.struct("seq", "start", "end", "text")
-    whole = segments.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("segments"))
-    return whole.select(key, F.to_json(F.struct("segments"), {"pretty": "true"}).alias("document"))
+def transcript_documents(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, document): one pretty JSON object {segments: [...]} per key."""
+    whole = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))).alias("segments"))
+    return whole.select(*keys, F.to_json(F.struct("segments"), {"pretty": "true"}).alias("document"))
 
 
-def render(formats: tuple[str, ...], segments: DataFrame, timeline: DataFrame, path: str, key: str = "video") -> list[str]:
-    """Write each format that is asked for; Markdown always. Returns the folders written."""
-    made = {"md": captions.render_markdown(segments, key, F.col(key))}
+def render(formats: tuple[str, ...], segments: DataFrame, timeline: DataFrame, path: str) -> list[str]:
+    """Write each format that is asked for, Markdown always, in parts of an hour per video. Returns the folders written."""
+    keys = ["video", "part"]
+    segments, timeline = captions.with_parts(segments, "start"), captions.with_parts(timeline, "timestamp")
+    made = {"md": captions.render_markdown(segments, keys, F.col("video"))}
     if "json" in formats:
-        made["json"] = transcript_documents(segments, key)
+        made["json"] = transcript_documents(segments, keys)
     if "html" in formats:
-        made["html"] = captions.render_html(timeline, key)
+        made["html"] = captions.render_html(timeline, keys)
     if "srt" in formats:
-        made["srt"] = captions.render_srt(segments, key)
-        made["vtt"] = captions.render_vtt(segments, key)
+        made["srt"] = captions.render_srt(segments, keys)
+        made["vtt"] = captions.render_vtt(segments, keys)
     for name, documents in made.items():
-        write_documents(documents, f"{path}/{name}", key)
+        write_documents(documents, f"{path}/{name}", keys)
     return [f"{path}/{name}" for name in made]

@@ -10,15 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.functions.text import normalize_screen_text
-from loomline.operators.sequence import Sampler
-
-
-def similarity(a: str, b: str) -> float:
-    """Jaccard of character pairs of two normalised texts."""
-    if not a or not b:
-        return 1.0 if a == b else 0.0
-    ga, gb = ({x[i : i + 2] for i in range(len(x) - 1)} or {x} for x in (a, b))
-    return len(ga & gb) / len(ga | gb)
+from loomline.operators.sequence import Keeper, Sampler
 
 
 def keep_changed_stream(observations: DataFrame, threshold: float = 0.965, heartbeat: float = 3.0, min_chars: int = 4) -> DataFrame:
@@ -30,14 +22,10 @@ def keep_changed_stream(observations: DataFrame, threshold: float = 0.965, heart
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, text = state.get if state.exists else (None, None)
+        keeper = Keeper(threshold, heartbeat, *(state.get if state.exists else (None, None)))
         rows = pd.concat(list(parts)).sort_values(["timestamp", "seq"], kind="stable").drop_duplicates(["timestamp", "seq"])
-        kept = []
-        for seq, when, norm in zip(rows["seq"], rows["timestamp"], rows["norm"]):
-            if at is None or similarity(text, norm) < threshold or when - at >= heartbeat:
-                at, text = float(when), norm
-                kept.append((key[0], seq, when))
-        state.update((at, text))
+        kept = [(key[0], seq, at) for seq, at, norm in zip(rows["seq"], rows["timestamp"], rows["norm"]) if keeper.offer(float(at), norm)]
+        state.update((keeper.at, keeper.text))
         yield pd.DataFrame(kept, columns=["video", "seq", "timestamp"])
 
     rows = observations.filter((F.length(F.trim(F.coalesce("text", F.lit("")))) >= min_chars) & F.col("timestamp").isNotNull())

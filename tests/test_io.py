@@ -65,7 +65,7 @@ def test_command_line(spark, folder, capsys):
 
 def test_writers(spark, tmp_path):
     seg = spark.createDataFrame([("v", 1, 0.0, 1.0, "नमस्ते")], "video string, seq bigint, start double, end double, text string")
-    writers.write_documents(writers.transcript_documents(seg, "video"), str(tmp_path / "j"), "video")
+    writers.write_documents(writers.transcript_documents(seg, ["video"]), str(tmp_path / "j"), ["video"])
     raw = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "j"), wholetext=True).select("value").collect())
     assert json.loads(raw)["segments"][0]["text"] == "नमस्ते"
     writers.write_json_lines(seg, str(tmp_path / "l"), append=True)

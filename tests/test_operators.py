@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from loomline.operators import boxes, captions, extractors, fusion, quality, regions, search, sequence, state
-from loomline.streaming.stateful import similarity
+from loomline.operators import boxes, captions, extractors, fusion, golden, quality, regions, search, sequence, state
+from loomline.operators.sequence import similarity_of as similarity
 
 OBS = "video string, seq bigint, timestamp double, text string, is_code boolean, confidence double"
 SEG = "video string, seq bigint, start double, end double, text string"
@@ -22,7 +22,7 @@ def test_fusion_orders_ties_by_source(spark):
     assert len(set(ids)) == 4 and all(len(i) == 12 for i in ids)
 
 
-@pytest.mark.parametrize("width", [None, 7.0, 1000.0])
+@pytest.mark.parametrize("width", [3.0, 7.0, 1000.0])
 def test_context_against_brute_force(spark, width):
     rng = random.Random(2)
     seg = [("v", i, s := rng.uniform(0, 100), s + rng.choice([0.5, 3, 40]), f"t{i}") for i in range(60)] + [("v", 99, 3.0, None, None)]
@@ -186,3 +186,12 @@ def test_registry(spark):
         r.run_all({"segments": seg})
     with pytest.raises(KeyError):
         r.enable("nothing")
+
+
+def test_golden_matches(spark):
+    marks = spark.createDataFrame([("v", 1, 10.0, "code", "abcd"), ("v", 2, 50.0, "ocr", "x"), ("w", 3, 5.0, "ocr", "")], "video string, seq bigint, timestamp double, type string, text string")
+    seen = spark.createDataFrame([("v", 7, 11.0, "code", "abxd"), ("v", 8, 12.0, "code", "abcd"), ("v", 9, 10.0, "ocr", "abcd"), ("v", 10, 70.0, "ocr", "x"), ("w", 11, 5.0, "ocr", "q")], "video string, seq bigint, timestamp double, type string, text string")
+    got = {r["seq"]: (r["match"], r["time_error"], r["char_error_rate"]) for r in golden.match(marks, seen, 5.0).collect()}
+    assert got == {1: (7, 1.0, 0.25), 2: (None, None, None), 3: (11, 0.0, None)}
+    sums = golden.scores(golden.match(marks, seen, 5.0), seen).first()
+    assert (sums["recall"], sums["precision"]) == (2 / 3, 2 / 5)

@@ -52,7 +52,7 @@ def plan(df):
 def test_plans(spark):
     context = plan(timeline.speech_context_bucketed(spark, FOLDER))
     assert "NestedLoop" not in context and "Cartesian" not in context and "Python" not in context
-    for name in ("ocr_dedup_keep_last", "detect_language", "quality_report", "vtt_cues", "code_regions", "scene_changes"):
+    for name in ("bigram_similarity_consecutive", "detect_language", "quality_report", "vtt_cues", "code_regions", "scene_changes"):
         text = plan(registry.QUERIES[name](spark, FOLDER))
         assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text, name
     scan = plan(table(spark, FOLDER, "ocr_event").filter("code_likelihood AND timestamp_s > 5").select("event_id"))
