@@ -202,7 +202,7 @@ def anchors_of(seed_places: list[tuple[list[int], list[int]]]) -> tuple[list[int
 
 
 def text_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(representatives with text, membership): equal texts are one class, named by its smallest id.
+    """(texts, membership): equal texts are one class, named by its smallest id.
 
     Classes are made on a 128-bit digest, pre-aggregated before the shuffle, so no text is moved and a text held by a third
     of all rows is one row per partition.
@@ -212,7 +212,7 @@ def text_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     keyed = base.select("doc_id", digest.alias("digest")).distinct()
     heads = keyed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
     members = keyed.join(heads, "digest").select("doc_id", "class_id", "n_copies")
-    return base.dropDuplicates(["doc_id"]), members
+    return base, members
 
 
 def shared_spans(documents: DataFrame, span: int = 300, k: int = 100, gap: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -220,14 +220,14 @@ def shared_spans(documents: DataFrame, span: int = 300, k: int = 100, gap: float
     representatives, one row per maximal exact match of ``span`` or more characters, with the chain it lies in."""
     texts, members = text_classes(documents, doc_id, text, span)
     members = materialize(members)
-    heads = texts.join(members.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
-    found = seeds(heads, k, span)
+    # seeds of all rows are taken first and then cut to the representatives': no text is moved for it
+    found = seeds(texts, k, span).join(members.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
     # the seeds that two texts share are few: they are kept, and only they are paired
     hits = materialize(found.join(shared, "seed").groupBy("seed", "doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places")))
     left, right = (hits.select("seed", F.col("doc_id").alias(f"doc_{x}"), F.col("places").alias(f"places_{x}")) for x in "ab")
     pairs = left.join(right, "seed").filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.collect_list(F.struct("places_a", "places_b")).alias("anchors"))
-    used = heads.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    used = texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     with_texts = pairs.join(used.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(used.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
