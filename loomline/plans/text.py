@@ -240,6 +240,13 @@ def identity_changed(spark: SparkSession, d: str) -> DataFrame:
     return state.changed(now, stored)
 
 
+def recognition_speed(spark: SparkSession, d: str) -> DataFrame:
+    """Per model: recordings, audio and elapsed milliseconds, and how many ran faster than real time."""
+    rows = _videos(spark, d).filter("audio_duration > 0 AND elapsed_seconds IS NOT NULL").select("video_id", "model", "audio_duration", "elapsed_seconds").distinct()
+    ms = lambda c: F.sum(F.round(F.col(c) * 1000).cast("long"))
+    return rows.groupBy("model").agg(F.count("*").alias("n"), ms("audio_duration").alias("audio_ms"), ms("elapsed_seconds").alias("elapsed_ms"), F.count_if(F.col("elapsed_seconds") / F.col("audio_duration") < 1).alias("faster"))
+
+
 def golden_eval(spark: SparkSession, d: str) -> DataFrame:
     """Code flags against what the block heuristic says: hits, misses and false alarms."""
     rows = _events(spark, d).filter("code_likelihood IS NOT NULL").select("code_likelihood", code.is_code_block(F.col("text")).alias("said"))
@@ -250,7 +257,7 @@ _ALL = (
     clean_text, normalize_text, safe_filename, slugify, format_times, looks_like_code, is_code_block, code_line_flags, detect_language, code_regions, region_boxes,
     code_diff_class, code_evolution, temporal_vote, quality_tokens, quality_report, quality_status_rollup, run_summary, caption_vs_asr_choice, render_srt, render_vtt,
     render_markdown, vtt_cues, vtt_dedup, caption_choice, language_lookup, url_allowlist, watch_url, playlist_range, playlist_index, ocr_best_variant, bbox_union,
-    mean_confidence, reading_order, stage_state, resume_anti_join, identity_changed, golden_eval,
+    mean_confidence, reading_order, stage_state, resume_anti_join, identity_changed, golden_eval, recognition_speed,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -393,5 +400,7 @@ SQL = {
  SELECT video, string_agg(stage || '=' || status, ' ' ORDER BY k) AS report, count(*) FILTER (status = 'complete') AS n_complete FROM g GROUP BY video""",
     "resume_anti_join": "SELECT DISTINCT o_orderkey AS video FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 5 AND l_linenumber % 5 = 2 AND l_returnflag = 'N')",
     "identity_changed": "SELECT DISTINCT doc_id AS video FROM documents WHERE doc_id % 7 = 0",
+    "recognition_speed": """SELECT model, count(*) AS n, CAST(sum(CAST(round(audio_duration * 1000) AS BIGINT)) AS BIGINT) AS audio_ms, CAST(sum(CAST(round(elapsed_seconds * 1000) AS BIGINT)) AS BIGINT) AS elapsed_ms, count(*) FILTER (elapsed_seconds / audio_duration < 1) AS faster
+ FROM (SELECT DISTINCT video_id, model, audio_duration, elapsed_seconds FROM video_metadata WHERE audio_duration > 0 AND elapsed_seconds IS NOT NULL) GROUP BY model""",
     "golden_eval": _EV + f", x AS (SELECT code_likelihood AS c, {_block('text')} AS said FROM ev WHERE code_likelihood IS NOT NULL) SELECT count(*) FILTER (c AND said) AS hits, count(*) FILTER (c AND NOT said) AS misses, count(*) FILTER (NOT c AND said) AS false_alarms FROM x",
 }

@@ -98,7 +98,7 @@ def golden_match(spark: SparkSession, d: str) -> DataFrame:
     """Screen events as annotations of one type, matched with what was said nearest to them."""
     marks = _observations(spark, d).select("video", "seq", "timestamp", F.lit("any").alias("type"), "text")
     said = _segments(spark, d).select("video", "seq", F.col("start").alias("timestamp"), F.lit("any").alias("type"), "text")
-    return golden.match(marks, said, 10.0).select("seq", "match", F.round("time_error", 3).alias("time_error"), "edits")
+    return golden.match(marks, said, 10.0).select("seq", "match", F.round("time_error", 3).alias("time_error"))
 
 
 def extractor_union(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +200,8 @@ SQL = {k: _search_sql(*v) for k, v in _QUERIES_SEARCH.items()} | {
   FROM (SELECT *, CASE WHEN take AND difference >= 0.5 THEN greatest(until0, t + 8.0) ELSE until0 END AS until
    FROM (SELECT f.video, f.k, f.seq, f.t, f.v, r.last, r.until AS until0, r.due, abs(f.v - r.last) AS difference, f.t + 0.01 >= r.due AS take FROM r JOIN f ON f.video = r.video AND f.k = r.k + 1)))
  SELECT video, seq, round(difference, 6) AS difference FROM r WHERE taken""",
-    "golden_match": _WITH.rstrip() + """, p AS (SELECT o.seq, s.seq AS m, abs(s.s0 - o.t) AS dt, levenshtein(coalesce(s.text, ''), o.text) AS edits, row_number() OVER (PARTITION BY o.seq ORDER BY abs(s.s0 - o.t), s.seq) AS k FROM obs o LEFT JOIN seg s ON s.video = o.video AND abs(s.s0 - o.t) <= 10)
- SELECT seq, m AS match, round(dt, 3) AS time_error, edits FROM p WHERE k = 1""",
+    "golden_match": _WITH.rstrip() + """, p AS (SELECT o.seq, s.seq AS m, abs(s.s0 - o.t) AS dt, row_number() OVER (PARTITION BY o.seq ORDER BY abs(s.s0 - o.t), s.seq) AS k FROM obs o LEFT JOIN seg s ON s.video = o.video AND abs(s.s0 - o.t) <= 10)
+ SELECT seq, m AS match, round(dt, 3) AS time_error FROM p WHERE k = 1""",
     "dark_frame_filter": "SELECT event_id AS seq FROM events WHERE NOT (value % 20 < 8 AND event_id % 1000 / 1000 < 0.065 * 1.5)",
     "resume_high_water": _WITH.rstrip() + """, m AS (SELECT video_id AS video, transcript_id % 7 * 60.0 AS mark FROM transcript WHERE chunk_no = 0)
  SELECT obs.video, obs.seq FROM obs LEFT JOIN m ON m.video = obs.video WHERE mark IS NULL OR t > mark""",
