@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from loomline.session import materialize
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: So many characters are hashed at once.
+SCAN_CHARS = 1_000_000
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
@@ -53,20 +55,36 @@ def kmer_hashes(codes: np.ndarray, k: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def minimizers(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the leftmost smallest hash of each window, by doubling: log(window) passes."""
-    n = len(h)
-    if not n:
-        return np.empty(0, np.int64)
-    window = min(window, n)
-    value, at, done = h, np.arange(n), 1
+def window_smallest(h: np.ndarray, window: int) -> np.ndarray:
+    """Of each window, the position of its leftmost smallest hash, by doubling: log(window) passes."""
+    value, at, done = h, np.arange(len(h)), 1
     while done < window:
         step = min(done, window - done)
-        left, right = value[: len(value) - step], value[step:]
-        later = right < left
-        value, at = np.where(later, right, left), np.where(later, at[step:], at[: len(at) - step])
+        right = value[step:]
+        later = right < value[: len(right)]
+        value, at = np.where(later, right, value[: len(right)]), np.where(later, at[step:], at[: len(right)])
         done += step
-    return np.unique(at)
+    return at
+
+
+def minimizers(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the minimizers of many texts, one after another in ``codes``.
+
+    All are hashed and scanned in one pass; only windows that lie in one text count, and texts shorter than the span have none.
+    """
+    h = kmer_hashes(codes, k)
+    window = span - k + 1
+    n_windows = np.maximum(size - span + 1, 0)
+    if not n_windows.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    smallest = window_smallest(h, window)
+    owner = np.repeat(np.arange(len(size)), n_windows)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    chosen = smallest[begin[owner] + offset]
+    new = np.ones(len(chosen), bool)
+    new[1:] = chosen[1:] != chosen[:-1]  # they never fall within a text
+    chosen, owner = chosen[new], owner[new]
+    return owner, chosen - begin[owner], h[chosen]
 
 
 def seeds(df: DataFrame, k: int, span: int) -> DataFrame:
@@ -74,15 +92,14 @@ def seeds(df: DataFrame, k: int, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, places = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = kmer_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k)
-                at = minimizers(h, span - k + 1)
-                ids.append(np.full(len(at), i, np.int64))
-                found.append(h[at].view(np.int64))
-                places.append(at.astype(np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, found, places)], names=["doc_id", "seed", "pos"])
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            # parts of about a million characters keep the arrays small; a longer text is a part of its own
+            part = np.cumsum(size) // SCAN_CHARS
+            for cut in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+                codes = np.frombuffer("".join(texts[i] for i in cut).encode("utf-32-le", "surrogatepass"), np.uint32)
+                owner, place, h = minimizers(codes, np.cumsum(size[cut]) - size[cut], size[cut], k, span)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cut][owner]), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], names=["doc_id", "seed", "pos"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, seed bigint, pos int")
 

@@ -24,10 +24,24 @@ def longest(x, y):
 
 def test_minimizers_are_the_windows_smallest():
     rng = np.random.default_rng(1)
-    for n, w in ((50, 7), (30, 30), (5, 9), (64, 16)):
+    for n, w in ((50, 7), (30, 30), (64, 16), (40, 1)):
         h = rng.integers(0, 20, n).astype(np.uint64)
-        want = sorted({i + int(np.argmin(h[i : i + w])) for i in range(max(1, n - w + 1))})
-        assert spans.minimizers(h, w).tolist() == want
+        assert spans.window_smallest(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(n - w + 1)]
+
+
+def test_texts_scanned_together_or_alone():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 5, 19, 20, 21, 90]))) for _ in range(40)]
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    size = np.array([len(t) for t in texts])
+    got = set(zip(*(x.tolist() for x in spans.minimizers(codes("".join(texts)), np.cumsum(size) - size, size, 6, 20))))
+    want = set()
+    for i, t in enumerate(texts):
+        h = spans.kmer_hashes(codes(t), 6)
+        for a in range(len(t) - 20 + 1):
+            at = a + int(np.argmin(h[a : a + 15]))
+            want.add((i, at, int(h[at])))
+    assert got == want
 
 
 def test_hash_depends_on_content_alone():
