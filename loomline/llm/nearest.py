@@ -55,13 +55,12 @@ def nearest_in_time(
         .filter("entity IS NOT NULL AND a IS NOT NULL AND id IS NOT NULL")
         .withColumn("b", F.greatest("a", F.coalesce("b", "a")))
     )
-    # no event lies outside this one row's bounds, so an absurdly long segment isn't spread beyond them
-    bounds = left.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    first = F.greatest(F.floor((F.col("a") - tolerance) / range_s).cast("long"), F.col("lo"))
-    last = F.least(F.floor((F.col("b") + tolerance) / range_s).cast("long"), F.col("hi"))
+    # no event lies outside these bounds, so an absurdly long segment isn't spread beyond them
+    lo, hi = left.agg(F.min("slot")).scalar(), left.agg(F.max("slot")).scalar()
+    first = F.when(lo.isNotNull(), F.greatest(F.floor((F.col("a") - tolerance) / range_s).cast("long"), lo))
+    last = F.least(F.floor((F.col("b") + tolerance) / range_s).cast("long"), hi)
     right = (
-        right.join(F.broadcast(bounds))
-        .withColumns({"first": first, "last": last})
+        right.withColumns({"first": first, "last": last})
         .filter("first <= last")
         .select("entity", F.explode(F.sequence("first", "last")).alias("slot"), F.lit(True).alias("is_segment"), "id", "a", "b")
     )

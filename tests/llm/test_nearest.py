@@ -57,5 +57,5 @@ def test_ties_long_segments_and_not_a_number(spark):
 
 
 def test_empty_tables(spark):
-    assert pairs(spark, [], [(1, "v", 0.0, 1.0, "x", 0)]) == ({}, 0)
+    assert pairs(spark, [], [(1, "v", 0.0, 1.0, "x", 0), (2, "v", 0.0, 1e15, "x", 0)]) == ({}, 0)
     assert pairs(spark, [(1, "v", 0.0, "e", 1)], []) == ({}, 0)
