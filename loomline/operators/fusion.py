@@ -64,11 +64,11 @@ def speech_context(observations: DataFrame, segments: DataFrame, radius: float =
     range each, so no pair comes twice.
     """
     obs = observations.select("video", "seq", F.col("timestamp").alias("t"), F.floor(F.col("timestamp") / range_s).alias("slot"))
-    bounds = obs.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    # a segment with an absurd end isn't spread beyond the ranges that there are
+    lo, hi = obs.agg(F.min("slot")).scalar(), obs.agg(F.max("slot")).scalar()
     seg = segments.select("video", F.struct("seq", context_pieces().alias("piece")).alias("item"), F.col("start").alias("s"), F.greatest(F.coalesce("end", "start"), "start").alias("e"))
-    first, last = F.greatest(F.floor((F.col("s") - radius) / range_s), F.col("lo")), F.least(F.floor((F.col("e") + radius) / range_s), F.col("hi"))
-    # one row: a segment with an absurd end isn't spread beyond what is there
-    seg = seg.join(F.broadcast(bounds)).withColumns({"first": first, "last": last}).filter("first <= last").withColumn("slot", F.explode(F.sequence("first", "last")))
+    first, last = F.when(lo.isNotNull(), F.greatest(F.floor((F.col("s") - radius) / range_s), lo)), F.least(F.floor((F.col("e") + radius) / range_s), hi)
+    seg = seg.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("slot", F.explode(F.sequence("first", "last")))
     o, s = obs.alias("o"), seg.select("video", "slot", "item", "s", "e").alias("s")
     near = (F.col("e") >= F.col("t") - radius) & (F.col("s.s") <= F.col("t") + radius)
     joined = o.join(s, (F.col("o.video") == F.col("s.video")) & (F.col("o.slot") == F.col("s.slot")) & near, "left")

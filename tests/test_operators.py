@@ -33,6 +33,9 @@ def test_context_against_brute_force(spark, width):
         pieces = [p for p in got[seq].split("[") if p]
         assert len(pieces) == len(near)
     assert got[77] == ""
+    absurd = spark.createDataFrame([("v", 1, 0.0, 1e15, "x")], SEG)
+    assert fusion.speech_context(observations(spark, []), absurd).count() == 0
+    assert fusion.speech_context(observations(spark, obs), absurd).filter("context != ''").count() == 40
 
 
 def test_previous_crosses_slices(spark):
