@@ -1,12 +1,13 @@
-"""Repetition inside one text (distribution divergence, then an exact count).
+"""Repetition inside one text (an exact count, with the distribution's divergence beside it).
 
-Each text's histogram of character classes and of common words is compared to its language's reference by
-Jensen-Shannon distance. A text that keeps saying the same has the histogram of a much shorter one: with half or
-more of its words said before, it has at most as many different words as a fresh text of half its length. So the gate for
-a text of n words is the distance that fresh texts of n / 2 words, drawn from the reference itself, stay above: by a margin of
-GATE_SPREADS standard deviations below their mean. Texts of fewer than MIN_GATE_WORDS words have too rough a histogram to judge
-(the minimum-length guard) and always pass. What passes the gate is then counted exactly: a word is repeated when
-it lies in a run of four or more words that stood earlier in the same text.
+In every text of at least ``min_words`` words, whatever its distance, the repeated words are counted exactly: a word is repeated
+when it lies in a run of four or more words that stood earlier in the same text.
+
+Beside the count, each text's histogram of common words and of character classes is compared to its script's reference by
+Jensen-Shannon distance, and ``gate`` is the distance that fresh texts of half its length, drawn from the reference itself, stay
+above: GATE_SPREADS standard deviations below their mean. Texts of fewer than MIN_GATE_WORDS words have too rough a histogram and
+get no distance (the minimum-length guard). The distance decides nothing: the references are learnt from the texts judged, and a
+text that makes up much of its script's reference is close to it however stuck it is.
 
 References are learnt from the corpus in one pass: word counts per language key, cut to the COMMON most frequent words of each (a
 bounded table) and one class for all other words; the key is the script most of a text's letters are in.
@@ -201,10 +202,11 @@ def references(texts: DataFrame, common: int = COMMON) -> dict[str, tuple[list[t
     return out
 
 
-def repetition(transcripts: DataFrame, segments: DataFrame, min_words: int = 8, gated: bool = True) -> DataFrame:
-    """(item_kind, item_id, n_words, word_distance, gate, class_distance, repeated_share); gated: only texts that pass the gate.
+def repetition(transcripts: DataFrame, segments: DataFrame, min_words: int = 8, gated: bool = False) -> DataFrame:
+    """(item_kind, item_id, n_words, word_distance, class_distance, gate, repeated_share) of every text; repeated_share is exact.
 
-    repeated_share is exact for every row that comes out.
+    gated: only the texts of at least ``min_words`` words whose distance isn't under their gate. That is a sample by
+    divergence and may leave stuck texts out.
     """
     texts = _texts(transcripts, segments)
     # the words of the segments are those of the transcripts: the references are learnt from these alone

@@ -67,3 +67,14 @@ def test_operator_on_odd_rows(spark):
     every = {(r["item_kind"], r["item_id"]): r for r in R.repetition(t, s, gated=False).collect()}
     assert every["transcript", 3]["repeated_share"] == 0 and ("transcript", 2) not in every
     assert R.stuck_texts(t.limit(0), s.limit(0)).count() == 0
+
+
+def test_stuck_text_that_makes_up_its_own_reference(spark):
+    rng = random.Random(3)
+    fresh = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(150)) for _ in range(20)]
+    stuck = " ".join(("".join(rng.choice("klmnopq") for _ in range(4)) for _ in range(33))) + " "
+    tamil = " ".join("".join(rng.choice("கசடதபறமநல") for _ in range(4)) for _ in range(30)) + " "
+    texts = fresh + [stuck * 5] * 10 + [tamil * 4]  # a third of all rows are one stuck text; another is alone in its script
+    t = spark.createDataFrame(list(enumerate(texts)), "transcript_id bigint, text string")
+    s = spark.createDataFrame([], "segment_id bigint, text string")
+    assert {r["item_id"] for r in R.stuck_texts(t, s).collect()} == set(range(20, 31))
