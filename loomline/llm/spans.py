@@ -192,11 +192,12 @@ def align(x: str, y: str, anchors: list[tuple[int, int]], k: int) -> list[tuple[
     return [(i, j, n) for (i, j), n in found.items()]
 
 
-def anchors_of(seed_places: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
-    """Anchors of a pair. Where a text repeats itself, a seed has many places in both: of those on one diagonal that follow
-    without a longer step than the texts' own repetition, the first is enough, as alignment grows it over the others."""
+def anchors_of(seed_places: list[tuple[list[int], list[int]]], x: str, y: str, k: int) -> tuple[list[int], list[int]]:
+    """Anchors of a pair. Where a text repeats itself, a seed has many places in both: of those on one diagonal only such are
+    left out as an exact match that is already grown covers, so each maximal match keeps an anchor."""
     a: list[int] = []
     b: list[int] = []
+    many: list[tuple[np.ndarray, np.ndarray]] = []
     for at_x, at_y in seed_places:
         if len(at_x) * len(at_y) <= 4:
             for p in at_x:
@@ -209,12 +210,21 @@ def anchors_of(seed_places: list[tuple[list[int], list[int]]]) -> tuple[list[int
         place = np.repeat(xs, len(ys))
         order = np.lexsort((place, diagonal))
         diagonal, place = diagonal[order], place[order]
-        # a place that the step before it on the diagonal doesn't reach may belong to another match
-        step = np.diff(xs[np.argsort(xs)]).min() if len(xs) > 1 else 0
+        # k-mers that touch or overlap on a diagonal lie in one match, whatever the texts' own repetition
         first = np.ones(len(place), bool)
-        first[1:] = (diagonal[1:] != diagonal[:-1]) | (place[1:] - place[:-1] > step)
-        a += place[first].tolist()
-        b += (place - diagonal)[first].tolist()
+        first[1:] = (diagonal[1:] != diagonal[:-1]) | (place[1:] - place[:-1] > k)
+        many.append((diagonal[first], place[first]))
+    if many:
+        diagonals, places = (np.concatenate(m) for m in zip(*many))
+        order = np.lexsort((places, diagonals))
+        on, upto = None, -1
+        for d, p in zip(diagonals[order].tolist(), places[order].tolist()):
+            if d != on:
+                on, upto = d, -1
+            if p >= upto and x[p : p + k] == y[p - d : p - d + k]:
+                a.append(p)
+                b.append(p - d)
+                upto = p + common_length(x, y, p, p - d, True)
     return a, b
 
 
@@ -252,7 +262,7 @@ def shared_spans(documents: DataFrame, span: int = 300, k: int = 100, gap: float
         for batch in batches:
             rows = []
             for a, b, anchors, x, y in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                at_a, at_b = anchors_of([(p["places_a"], p["places_b"]) for p in anchors])
+                at_a, at_b = anchors_of([(p["places_a"], p["places_b"]) for p in anchors], x, y, k)
                 for n, path in enumerate(chain(at_a, at_b, k, gap)):
                     spans = align(x, y, [(at_a[i], at_b[i]) for i in path], k)
                     ends = max(i + m for i, _, m in spans) if spans else 0, max(j + m for _, j, m in spans) if spans else 0

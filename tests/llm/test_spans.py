@@ -89,6 +89,20 @@ def test_against_brute_force(spark):
     assert want and pairs(spark, docs, span=40, k=12) == want
 
 
+def test_paged_boilerplate_against_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(20):
+        # pages of 46 characters with the same 34 in the middle: only the middle page is equal as a whole
+        boiler = word(34)
+        same = word(6) + boiler + word(6)
+        texts += [word(6) + boiler + word(6) + same + word(6) + boiler + word(6) for _ in range(2)]
+    docs = list(enumerate(texts))
+    want = {(i, j) for (i, x), (j, y) in combinations(docs, 2) if longest(x, y) >= 40}
+    assert len(want) == 20 and pairs(spark, docs, span=40, k=12) == want
+
+
 def test_share_and_odd_rows(spark):
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
