@@ -4,7 +4,7 @@ An item leaks into a document when at least half of its words stand there in the
 unbroken runs of ``width`` or more words. Such runs hold at least ceil(needed / width) of the item's shingles, so with
 the item's s shingles ordered by rarity in the corpus, one of its s - needed + 1 rarest must be in the document: only
 these prefix shingles are joined. Candidates pass a length bound (enough shared shingles) and a positional bound (they
-lie in one window of the item's size), then the runs are rebuilt from the shingles' places and covered exactly.
+lie in one window of the item's size), then the shingles' places are covered exactly, window by window.
 
 Defined results
   * null or empty texts and texts of fewer than ``width`` words: no rows; items of fewer than ``width`` words never leak.
@@ -59,11 +59,44 @@ def _shingles(df: DataFrame, id_column: str, text_column: str, width: int, wante
     return source.mapInArrow(run, "id bigint, shingle bigint, pos int, n_words int")
 
 
-def cover(doc_pos: np.ndarray, item_pos: np.ndarray, n_words: int, width: int, window: int) -> tuple[int, int, int]:
-    """(words covered, first and last document word) of the best passage: runs in the item's order inside one window.
+def _best_chain(d: list[int], i: list[int], width: int) -> tuple[int, int, int]:
+    """(words covered, first and last document word) of the best chain of shared shingles, ordered by document place.
 
-    Shared shingles on one diagonal that follow each other make a run; a weighted chain over the runs, each cut to
-    what the runs before it left over, gives the most item words covered within ``window`` document words.
+    A shingle adds one word to the run it continues, or ``width`` words to the best chain that ends before it in both texts; a
+    Fenwick tree of prefix maxima over the item's places holds the chains that end before it in the document.
+    """
+    low, size = min(i), max(i) - min(i) + 1
+    tree = [(0, 0)] * (size + 1)
+    at: dict[tuple[int, int], tuple[int, int]] = {}
+    ended, found = 0, (0, 0, 0)
+    for x, y in zip(d, i):
+        while d[ended] + width <= x:
+            have = at[d[ended], i[ended]]
+            k = i[ended] - low + 1
+            while k <= size:
+                tree[k] = max(tree[k], have)
+                k += k & -k
+            ended += 1
+        before, k = (0, 0), y - low - width + 1
+        while k > 0:
+            before = max(before, tree[k])
+            k -= k & -k
+        best = (before[0] + width, before[1] if before[0] else x)
+        if run := at.get((x - 1, y - 1)):
+            best = max(best, (run[0] + 1, run[1]))
+        at[x, y] = best
+        if best[0] > found[0]:
+            found = (best[0], best[1], x + width - 1)
+    return found
+
+
+def cover(doc_pos: np.ndarray, item_pos: np.ndarray, n_words: int, width: int, window: int, least: int = 0) -> tuple[int, int, int]:
+    """(words covered, first and last document word) of the best passage: the most item words that stand in the item's order, in
+    runs of ``width`` or more words, inside any ``window`` document words.
+
+    Runs that follow each other in both texts inside one window are all taken. Else each window that holds shared shingles no
+    earlier one holds is searched on its own, so what lies before it never lowers the result; runs may be cut at its ends and
+    where they overlap. Windows that can't cover ``least`` words, or more than those found, are left out.
     """
     order = np.lexsort((doc_pos, doc_pos.astype(np.int64) - item_pos))
     d, i = doc_pos[order].astype(np.int64), item_pos[order].astype(np.int64)
@@ -72,21 +105,24 @@ def cover(doc_pos: np.ndarray, item_pos: np.ndarray, n_words: int, width: int, w
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d)) - 1
     runs = sorted(zip(d[first].tolist(), i[first].tolist(), (d[last] - d[first] + width).tolist()))
-    best, found = [0] * len(runs), (0, 0, 0)
-    start = [r[0] for r in runs]
-    for b, (db, ib, nb) in enumerate(runs):
-        best[b] = nb
-        for a in range(b - 1, -1, -1):
-            da, ia, na = runs[a]
-            if db + nb - da > window + nb:
-                break
-            # the later run must reach beyond the earlier one in both texts, and keep a whole run of its own
-            lost = max(0, da + na - db, ia + na - ib)
-            if ib > ia and nb - lost >= min(width, nb) and db + nb - start[a] <= window and best[a] + nb - lost > best[b]:
-                best[b], start[b] = best[a] + nb - lost, start[a]
-        if best[b] > found[0]:
-            found = (best[b], start[b], db + nb - 1)
-    return min(found[0], n_words), found[1], found[2]
+    begin, end = runs[0][0], runs[-1][0] + runs[-1][2]
+    if end - begin <= window and all(da + na <= db and ia + na <= ib for (da, ia, na), (db, ib, _) in zip(runs, runs[1:])):
+        return sum(n for _, _, n in runs), begin, end - 1
+    order = np.lexsort((i, d))
+    d, i = d[order], i[order]
+    starts, lo = np.unique(d, return_index=True)
+    hi = np.searchsorted(d, starts + window - width, side="right")
+    # document words up to each start's shingle that stand in any shared one
+    words = np.cumsum(np.minimum(np.diff(starts, prepend=starts[0] - width), width))
+    upto = np.searchsorted(starts, starts + window - width, side="right") - 1
+    most = words[upto] - words + width
+    found = (0, 0, 0)
+    for k in np.flatnonzero((np.diff(hi, prepend=0) > 0) & (most >= least)):
+        if found[0] >= n_words:
+            break
+        if most[k] > found[0]:
+            found = max(found, _best_chain(d[lo[k] : hi[k]].tolist(), i[lo[k] : hi[k]].tolist(), width), key=lambda x: x[0])
+    return found
 
 
 def leaked_items(
@@ -140,7 +176,7 @@ def leaked_items(
             # length bound: too few distinct shingles can't cover enough words
             if width * len(np.unique(at[a:b])) < need:
                 continue
-            covered, first, last = cover(pos[a:b], at[a:b], n, width, int(n * slack) + width)
+            covered, first, last = cover(pos[a:b], at[a:b], n, width, int(n * slack) + width, int(need))
             if covered >= n * share:
                 rows.append((int(doc[a]), int(item[a]), covered, n, first, last))
         if not rows:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loomline.llm.leakage import cover, leaked_items
 from loomline.llm.words import passage_words
@@ -77,6 +78,54 @@ def test_scattered_pieces_are_no_passage():
     assert cover(*near, n, width, 45)[0] == 20 and cover(*far, n, width, 45)[0] == 10
 
 
+def places(runs, width=5):
+    shingles = [(d + k, i + k) for d, i, n in runs for k in range(n - width + 1)]
+    return np.array([s[0] for s in shingles]), np.array([s[1] for s in shingles])
+
+
+def test_an_earlier_fragment_never_lowers_the_cover():
+    runs = [(0, 0, 8), (50, 10, 10), (75, 20, 12)]
+    # the fragment and ten words of the last run fit in one window as well
+    assert cover(*places(runs), 40, 5, 85) == (28, 0, 84)
+    assert cover(*places([(0, 0, 5), *runs[1:]]), 40, 5, 79) == (22, 50, 86)
+    assert cover(*places(runs[1:]), 40, 5, 85) == (22, 50, 86)
+    # a run may be cut at the window's end, and where it overlaps the next
+    assert cover(*places([(0, 0, 10), (78, 10, 10)]), 40, 5, 85)[0] == 17
+    assert cover(*places([(0, 0, 20), (17, 18, 6)]), 40, 5, 85)[0] == 23
+
+
+def test_a_quoted_opening_before_the_passage_is_a_leak(spark):
+    item = [f"w{k}" for k in range(40)]
+    stray = lambda n: [f"s{k}" for k in range(n)]
+    doc = item[:8] + stray(42) + item[10:20] + stray(15) + item[20:32]
+    assert leaks(spark, [(1, " ".join(doc)), (2, " ".join(doc[8:]))], [(7, " ".join(item))]) == {(1, 7), (2, 7)}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_cover_against_brute_force(seed):
+    """Every window, every chain of shingles."""
+    rng = random.Random(seed)
+    item = [rng.choice("abcd") for _ in range(rng.randrange(6, 16))]
+    doc = [rng.choice("abcd") for _ in range(10)]
+    for _ in range(3):
+        a = rng.randrange(len(item))
+        at = rng.randrange(len(doc))
+        doc[at:at] = item[a : a + rng.randrange(3, 9)]
+    width, window = 3, rng.randrange(8, 40)
+    shared = [(x, y) for x in range(len(doc) - width + 1) for y in range(len(item) - width + 1) if doc[x : x + width] == item[y : y + width]]
+    if not shared:
+        return
+    want = 0
+    for start in range(len(doc)):
+        best = {}
+        for x, y in shared:
+            if start <= x and x + width <= start + window:
+                best[x, y] = max([width, best.get((x - 1, y - 1), -1) + 1] + [n + width for (u, v), n in best.items() if u + width <= x and v + width <= y])
+        want = max([want, *best.values()])
+    got = cover(np.array([s[0] for s in shared]), np.array([s[1] for s in shared]), len(item), width, window)
+    assert got[0] == want and got[2] - got[1] < window
+
+
 def test_odd_rows(spark):
     item = "one two three four five six seven eight nine ten"
     docs = [(1, item.upper().replace(" ", ",\n")), (1, item.upper().replace(" ", ",\n")), (2, None), (3, ""), (4, "one two"), (None, item), (5, "x " * 20_000 + item), (6, "one two three four x five six seven eight")]
