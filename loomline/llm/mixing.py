@@ -152,9 +152,15 @@ def supply(measured: DataFrame, mix: DataFrame) -> DataFrame:
 
 def plan(measured: DataFrame, mix: DataFrame, size: int | None = None, domains: dict[str, str] = DOMAINS) -> list[tuple]:
     """(source, lang, tokens, max_repeats, budget) of each leaf. The leaves are targets times languages: a small, bounded list."""
+    return budgets(measured, mix, size, domains)[0]
+
+
+def budgets(measured: DataFrame, mix: DataFrame, size: int | None = None, domains: dict[str, str] = DOMAINS) -> tuple[list[tuple], int]:
+    """The leaves of plan(), and the size of the mix."""
     wanted = {r["source"]: r for r in targets(mix).collect()}
-    leaves = measured.join(F.broadcast(measured.sparkSession.createDataFrame([(s,) for s in wanted], "source string")), "source").groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).collect() if wanted else []
-    size = size if size is not None else measured.agg(F.sum("n_tokens")).first()[0] or 0
+    own = materialize(measured.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")))  # read twice: texts are counted once
+    leaves = own.join(F.broadcast(measured.sparkSession.createDataFrame([(s,) for s in wanted], "source string")), "source").collect() if wanted else []
+    size = size if size is not None else own.agg(F.sum("tokens")).first()[0] or 0
     of_source: dict[str, int] = {}
     for r in leaves:
         of_source[r["source"]] = of_source.get(r["source"], 0) + r["tokens"]
@@ -170,7 +176,24 @@ def plan(measured: DataFrame, mix: DataFrame, size: int | None = None, domains:
             node.capacity += leaf.capacity
     allot(root, float(size))
     tokens = {(r["source"], r["lang"]): r["tokens"] for r in leaves}
-    return [(s, l, tokens[s, l], wanted[s]["max_repeats"], leaf.budget) for d in root.below.values() for l, language in d.below.items() for s, leaf in language.below.items()]
+    return [(s, l, tokens[s, l], wanted[s]["max_repeats"], leaf.budget) for d in root.below.values() for l, language in d.below.items() for s, leaf in language.below.items()], size
+
+
+def budgeted(measured: DataFrame, mix: DataFrame, size: int | None = None) -> DataFrame:
+    """Per target source: the budget and the capacity of its leaves in the planned tree, and whether it stays under its share.
+
+    A source stays under when all its leaves together can't hold its target of the mix, whatever the tree gives them.
+    """
+    leaves, size = budgets(measured, mix, size)
+    of_leaf = measured.sparkSession.createDataFrame(leaves, "source string, lang string, leaf_tokens bigint, max_repeats int, budget double")
+    own = of_leaf.groupBy("source").agg(F.sum("budget").alias("budget"), F.sum(F.col("leaf_tokens") * F.col("max_repeats")).alias("capacity"))
+    return (
+        targets(mix)
+        .join(F.broadcast(own), "source", "left")  # at most a row per target
+        .withColumns({"budget": F.coalesce("budget", F.lit(0.0)), "capacity": F.coalesce("capacity", F.lit(0))})
+        .withColumn("possible_share", F.coalesce(F.try_divide("capacity", F.lit(size)), F.lit(0.0)))
+        .withColumn("stays_under", F.col("possible_share") < F.col("target_share"))
+    )
 
 
 def draw(measured: DataFrame, mix: DataFrame, seed: int = 17, size: int | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.supply(_sizes(spark, d), table(spark, d, "mix_target")).filter("stays_under").select("source_name")
+    return mixing.budgeted(_sizes(spark, d), table(spark, d, "mix_target")).filter("stays_under").select("source_name")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -69,3 +69,27 @@ def test_supply_and_odd_rows(spark):
     assert {r["stays_under"] for r in mixing.supply(empty, mix(spark, [("a", 0.5, 1)])).collect()} == {True}
     assert mixing.draw(empty, mix(spark, [("a", 0.5, 1)])).count() == 0
     assert mixing.draw(frame, mix(spark, [])).count() == 0
+
+
+def test_budgeted_agrees_with_supply_and_plan(spark):
+    frame = measured(spark, [(1, "a", "en", 30), (2, "b", "en", 10), (3, None, "en", 40), (4, "a", "de", 20)])
+    wanted = mix(spark, [("A", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 9), ("d", None, None), (None, 0.1, 1)])
+    got = {r["source_name"]: r for r in mixing.budgeted(frame, wanted).collect()}
+    assert {k: r["stays_under"] for k, r in got.items()} == {r["source_name"]: r["stays_under"] for r in mixing.supply(frame, wanted).collect()} == {"A": False, "b": True, "c": True, "d": False}
+    assert (got["A"]["capacity"], got["b"]["capacity"], got["c"]["capacity"]) == (50, 20, 0)
+    leaves = mixing.plan(frame, wanted)
+    assert {(s, l) for s, l, *_ in leaves} == {("a", "en"), ("a", "de"), ("b", "en")}
+    assert got["A"]["budget"] == pytest.approx(sum(x[4] for x in leaves if x[0] == "a"))
+    assert mixing.budgeted(measured(spark, []), mix(spark, [("a", 0.5, 1)])).filter("stays_under").count() == 1
+    assert mixing.budgeted(frame, mix(spark, [])).count() == 0
+
+
+def test_found_reaches_the_budgets(spark, monkeypatch):
+    from loomline.llm import queries
+
+    frame, wanted = measured(spark, [(1, "a", "en", 30), (2, "b", "en", 10)]), mix(spark, [("a", 0.5, 1), ("b", 0.5, 1)])
+    allotted = []
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: wanted)
+    monkeypatch.setattr(queries, "_sizes", lambda spark, d: frame)
+    monkeypatch.setattr(mixing, "allot", lambda node, amount, allot=mixing.allot: allotted.append(amount) or allot(node, amount))
+    assert [r["source_name"] for r in queries.p7_found(spark, "").collect()] == ["b"] and allotted[0] == 40
