@@ -85,6 +85,23 @@ REPAIRS = (
 )
 
 
+def with_earlier(snapshots: DataFrame, within_s: float = 60.0) -> DataFrame:
+    """(video, seq, timestamp, text, earlier): with the texts of the same video that stand before (timestamp, seq) and at most
+    ``within_s`` seconds back, in order. Rows without a video, time or text are no one's earlier text and have none.
+
+    A row also goes to the time slice after its own, so a task sees two slices of a video and never all of it.
+    """
+    is_timed = F.col("video").isNotNull() & F.col("timestamp").isNotNull() & ~F.isnan(F.col("timestamp").cast("double")) & F.col("text").isNotNull()
+    own = F.floor(F.col("timestamp") / within_s)
+    sliced = snapshots.filter(is_timed).withColumn("own", own).withColumn("slice", F.explode(F.array("own", F.col("own") + 1)))
+    near = Window.partitionBy("video", "slice").orderBy(F.floor("timestamp")).rangeBetween(-int(within_s) - 1, 0)  # whole seconds; cut exactly below
+    seen = sliced.withColumn("near", F.sort_array(F.collect_list(F.struct("timestamp", "seq", "text")).over(near))).filter("slice = own")
+    before = lambda x: (x["timestamp"] >= F.col("timestamp") - within_s) & ((x["timestamp"] < F.col("timestamp")) | ((x["timestamp"] == F.col("timestamp")) & (x["seq"] < F.col("seq"))))
+    timed = seen.select("video", "seq", "timestamp", "text", F.transform(F.filter("near", before), lambda x: x["text"]).alias("earlier"))
+    rest = snapshots.filter(~F.coalesce(is_timed, F.lit(False))).select("video", "seq", "timestamp", "text", F.expr("cast(array() as array<string>)").alias("earlier"))
+    return timed.unionByName(rest)
+
+
 def repair_by_vote(text: Column, earlier: Column) -> Column:
     """A rule applies where more than half of the earlier texts show its repaired form."""
 

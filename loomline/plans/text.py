@@ -86,10 +86,9 @@ def code_evolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def temporal_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Each code text with its colons cut off, repaired by what its own lines show: an exact round trip where a rule applies."""
-    events = _events(spark, d).filter("code_likelihood")
-    cut = F.regexp_replace("text", r"(?m):$", "")
-    return events.select("doc", regions.repair_by_vote(cut, F.array("text")).alias("repaired"))
+    """Each code text, repaired where more than half of its video's code texts of the minute before show the repaired form."""
+    events = _events(spark, d).filter("code_likelihood").select(F.col("video_id").alias("video"), F.col("doc").alias("seq"), F.col("timestamp_s").alias("timestamp"), "text")
+    return regions.with_earlier(events).select(F.col("seq").alias("doc"), regions.repair_by_vote(F.col("text"), F.col("earlier")).alias("repaired"))
 
 
 def _transcript_facts(spark: SparkSession, d: str) -> DataFrame:

@@ -109,6 +109,29 @@ def test_regions_diffs_and_votes(spark):
     assert tuple(vote) == ("if ready:", "else")
 
 
+def test_vote_round_trip(spark):
+    F = regions.F
+    text = "def go(x):\n    if ready:\n        pass\n    else:\n        go(1)"
+    row = spark.createDataFrame([(text,)], "text string").select(regions.repair_by_vote(F.regexp_replace("text", r"(?m):$", ""), F.array("text"))).first()
+    assert row[0] == text
+
+
+def test_temporal_vote_reads_the_frames_before(spark, tmp_path):
+    from loomline.plans import text as plans
+
+    good, bad = "if ready:\n    go()", "if ready\n    go()"
+    rows = [(1, "v", 55.0, good), (2, "v", 58.0, good), (3, "v", 61.0, bad), (4, "v", 61.0, good), (5, "w", 62.0, bad), (6, "v", 300.0, bad), (7, None, 60.0, bad), (8, "v", None, bad), (9, "v", None, None), (10, "v", 118.0, bad), (11, "v", 118.5, bad), (12, "v", 122.0, bad)]
+    rows += rows[:1] * 3
+    frame = spark.createDataFrame([(*r, True) for r in rows] + [(13, "v", 60.5, bad, False)], "event_id bigint, video_id string, timestamp_s double, text string, code_likelihood boolean")
+    frame.write.parquet(str(tmp_path / "ocr_event.parquet"))
+    got = {r["doc"]: r["repaired"] for r in plans.temporal_vote(spark, str(tmp_path)).collect()}
+    # 3 has two good frames before it; 10 has 2, 4 and the unrepaired 3; 11 has 3, 4 and 10, of which one is good, so it stays
+    assert {k for k, v in got.items() if v == good} == {1, 2, 3, 4, 10}
+    assert set(got) == set(range(1, 13)) and got[9] is None
+    earlier = {r["seq"]: len(r["earlier"]) for r in regions.with_earlier(frame.distinct().filter("code_likelihood").toDF("seq", "video", "timestamp", "text", "x")).collect()}
+    assert earlier == {1: 0, 2: 1, 3: 2, 4: 3, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 3, 11: 3, 12: 2}
+
+
 def report(spark, texts, facts=None, lp=-0.2):
     rows = spark.createDataFrame([(1, i, t, (lp, 0.1, 1.2)) for i, t in enumerate(texts)], "key bigint, seq bigint, text string, quality struct<avg_logprob: double, no_speech_prob: double, compression_ratio: double>")
     known = spark.createDataFrame([(1, *(facts or (None, None)))], "key bigint, language_probability double, duration double")
