@@ -120,7 +120,9 @@ def cover(doc_pos: np.ndarray, item_pos: np.ndarray, n_words: int, width: int, w
     for k in np.flatnonzero((np.diff(hi, prepend=0) > 0) & (most >= least)):
         if found[0] >= n_words:
             break
-        if most[k] > found[0]:
+        held = np.unique(i[lo[k] : hi[k]])
+        bound = min(int(most[k]), width + int(np.minimum(np.diff(held), width).sum()))  # item words in any shared shingle
+        if bound >= least and bound > found[0]:
             found = max(found, _best_chain(d[lo[k] : hi[k]].tolist(), i[lo[k] : hi[k]].tolist(), width), key=lambda x: x[0])
     return found
 
