@@ -1,22 +1,24 @@
 """Noise of scanned pages and slides, and clean paragraphs without it.
 
 Four kinds per line: running heads and footers, page numbers, words cut at a line end, misread words.
-  * Running heads are found by fuzzy line repetition at page edges: the first and last lines of the events of one video
-    are compared in overlapping time ranges, on a key in which characters that scanners confuse are one. A line
-    that stands at the edge of several events (whole, truncated, in capitals, misread) is a head.
-  * Page numbers are lines of their own with a number in a page's form, outermost or next to a head.
+  * Running heads are found by fuzzy line repetition at page edges: the outermost lines of a video's events are compared with those
+    at most HEAD_FRAMES frames away, on a key in which characters that scanners confuse are one. A line that stands at the edge of
+    several events (whole, truncated, in capitals, misread) is a head; a line next to a head may be one too, however many there are.
+  * Page numbers are lines of their own with a number in a page's form, outermost or next to a head, that make a sequence: a number
+    without a word, sign or total of pages must rise or fall with the numbers of the neighbouring events (or stand alone there).
   * Cut words and misreads use the corpus vocabulary (word counts over all events): a cut is a hyphen at the line end whose joined
-    word the corpus knows, or whose halves it doesn't; a misread word is rare and becomes a far more frequent word of the same key
-    by known confusions, or has digits or signs inside letters that no word has.
+    word isn't far rarer than both halves; a misread word becomes a far more frequent word of the same key by known confusions, or
+    is rare and has digits or signs inside letters. All of this compares counts with counts, so it is alike at every corpus size.
 
 Nothing here depends on box confidences, which mislead.
 
 Defined results
-  * null or empty texts: no rows. Lines are text split at newlines, counted from 0. Events without a video stand alone for heads.
+  * null or empty texts: no rows. Lines are text split at newlines, counted from 0. Events without a video, or with neither frame
+    nor time, stand alone for heads and page numbers. Lines of fewer than MIN_HEAD letters and digits are no heads.
   * a head or page number has no second kind; lines of code have none (code_likelihood, and where it is null or false, a text
     most of whose lines look like code).
   * repeated rows of an event give one row per line and kind. Very long texts are processed whole. Events without a
-    frame index are taken at 0. Other columns aren't read.
+    frame index are placed by their time. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,10 +50,22 @@ _ONE = str.maketrans("@50961l|cf", "asogbiiiet")
 _SPELLED = str.maketrans({"m": "rn", "w": "vv", "d": "ei", "u": "ii", "h": "ii"})
 _PLAIN = str.maketrans("@50961", "asogbl")
 
-#: Misread-word lists of at most so many entries are sent to the executors; larger ones are joined by shuffle.
-BROADCAST_WORDS = 1_000_000
+#: Misread-word lists of at most so many entries are sent to the executors, so that other words aren't shuffled; the rows are the
+#: same beyond it.
+BROADCAST_WORDS = 200_000
+#: Heads and page numbers run through the slides of one chunk: events at most so many frames apart are compared. The longest of 2,000
+#: chunks lasts 384 s, 9,600 frames of a 25th of a second.
+HEAD_FRAMES = 10_000
+FRAMES_PER_SECOND = 25
+#: Events are handled in ranges of so many frames, each with HEAD_FRAMES on either side; the result doesn't depend on the cuts.
 FRAMES_PER_RANGE = 30_000
-FRAMES_MARGIN = 10_000
+MIN_HEAD = 5
+#: Neighbours in a sequence of page numbers differ by at most so much.
+PAGE_STEP = 20
+#: A word stays a hyphenated one where the joined word is so many times rarer than each half.
+JOINED_RARITY = 1000
+#: A word with digits inside letters, and no known true word, is misread if it makes up at most this share of all words.
+RARE_SHARE = 1e-5
 
 _HYPHEN = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{M}}@\d]*+)[{LINE_HYPHENS}]\s*$")
 _STARTS_LOW = regex.compile(r"^\s*(\p{Ll}[\p{L}\p{M}@\d]*)")
@@ -59,8 +73,15 @@ _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@]+")
 _TOKEN_ASCII = re.compile(r"[A-Za-z0-9@]+")
 _NUMERAL = r"(?:[\dlOoI|]{1,5})"
 _ROMAN = r"x{0,3}(?:[il1]x|[il1]v|v?[il1]{0,3})"
-_PAGE = regex.compile(rf"^[\W_]*(?:(?:page|p\.|pg\.?|slide|s[l1i]ide|folio|seite|folie|página|pagina|diapositiva)\s*)?{_NUMERAL}(?:\s*(?:/|of|von|de|sur)\s*{_NUMERAL})?[\W_]*$|^[\s\-–—\[\]()]*(?=[xvil1]){_ROMAN}[\s\-–—\[\]()]*$", regex.I)
-_BARE = regex.compile(r"^\s*\d+\s*$")
+_AROUND = r"[\s\-–—_\[\](){}|<>~=•·.]*"
+_PAGE = regex.compile(
+    rf"^{_AROUND}(?P<mark>(?:page|p\.|pg\.?|slide|s[l1i]ide|folio|seite|folie|página|pagina|diapositiva)\s*)?(?P<number>{_NUMERAL})(?P<total>\s*(?:/|of|von|de|sur)\s*{_NUMERAL})?{_AROUND}$"
+    rf"|^[\s\-–—\[\]()]*(?=[xvil1])(?P<roman>{_ROMAN})[\s\-–—\[\]()]*$",
+    regex.I,
+)
+_READ_NUMBER = str.maketrans("lio|", "1101")
+_READ_ROMAN = str.maketrans("l1|", "iii")
+_ROMAN_VALUE = {"i": 1, "v": 5, "x": 10}
 _NOT_PAGE = regex.compile(r"\d[.,:]\s*\d|[%€$]")
 _ENDS = regex.compile(r"[.?!,;:…][\s\-–—]*$")
 _DIGITS = regex.compile(r"\d+")
@@ -73,10 +94,27 @@ _CODE = regex.compile(
 
 
 def is_page(line: str) -> bool:
-    """Whether a line is nothing but a number in a page's form; it must hold a digit or be a Roman numeral."""
+    """Whether a line is nothing but a number in a page's form."""
     return bool(_PAGE.match(line)) and not _NOT_PAGE.search(line)
 
 
+def page_of(line: str) -> tuple[str, int, bool] | None:
+    """(style, number, marked) of a line in a page's form; marked: a word, signs or a total tell that it is a page's number."""
+    found = _PAGE.match(line)
+    if not found or _NOT_PAGE.search(line):
+        return None
+    at = "number" if found["number"] is not None else "roman"
+    read = found[at].lower()
+    if at == "roman" or ("i" in read and not regex.search(r"[\do]", read)):
+        values = [_ROMAN_VALUE[c] for c in read.translate(_READ_ROMAN)]
+        value, kind = sum(v if v >= after else -v for v, after in zip(values, [*values[1:], 0])), "i"
+    else:
+        value, kind = int(read.translate(_READ_NUMBER)), "#"
+    # how it is written, whatever the numbers: all of a chunk's are alike
+    style = line[: found.start(at)].strip().lower() + kind + (" /#" if found["total"] else line[found.end(at) :].strip())
+    return style, value, line.strip() != found[at]
+
+
 def is_code(text: str, flag: bool | None) -> bool:
     if flag:
         return True
@@ -117,7 +155,10 @@ _BASE = ("event_id", "video_id", "frame_index", "text", "code_likelihood")
 
 
 def _base(events: DataFrame) -> DataFrame:
-    return events.select(F.col("event_id").cast("long").alias("event_id"), "video_id", F.coalesce(F.col("frame_index").cast("long"), F.lit(0)).alias("frame_index"), "text", "code_likelihood").filter("event_id IS NOT NULL AND text IS NOT NULL AND text != ''")
+    frame = F.col("frame_index").cast("long")
+    if "timestamp_s" in events.columns:
+        frame = F.coalesce(frame, F.expr(f"try_cast(round(timestamp_s * {FRAMES_PER_SECOND}) AS bigint)"))
+    return events.select(F.col("event_id").cast("long").alias("event_id"), "video_id", frame.alias("frame_index"), "text", "code_likelihood").filter("event_id IS NOT NULL AND text IS NOT NULL AND text != ''")
 
 
 def whole_words(text: str) -> Iterator[tuple[int, str]]:
@@ -173,6 +214,8 @@ _NUMBER_READ = regex.compile(r"^(?=.*\d)(?=.*[lo])[\dlo]{2,5}$")
 
 def misread_words(words: DataFrame) -> DataFrame:
     """(word, fix) of the misread words of a vocabulary; fix is null where the corpus doesn't know the true word."""
+    # beyond its first time, a rare word may come RARE_SHARE times as often as all words do
+    rare = 1 + RARE_SHARE * (words.agg(F.sum("n")).first()[0] or 0)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +228,7 @@ def misread_words(words: DataFrame) -> DataFrame:
                         out.append((w, w.replace("l", "1").replace("o", "0")))
                         continue
                     fix = next((v for m, v in known if (m > 4 * n or (odd and m >= n)) and v.isalpha() and len(v) > 2 and misread_as(v, w)), None)
-                    if fix is not None or (n <= 3 and _SIGN_INSIDE.match(w) and sum(c.isalpha() for c in w) >= 3 and w.translate(_PLAIN).isalpha()):
+                    if fix is not None or (n <= rare and _SIGN_INSIDE.match(w) and sum(c.isalpha() for c in w) >= 3 and w.translate(_PLAIN).isalpha()):
                         out.append((w, fix))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["word", "fix"])
@@ -198,11 +241,12 @@ def misread_words(words: DataFrame) -> DataFrame:
 
 
 def edge_lines(events: DataFrame) -> DataFrame:
-    """The two outermost lines at the top and bottom of each event with what decides about them."""
-    schema = "video_id string, frame_index bigint, event_id bigint, line_pos int, at_top boolean, depth int, key string, page string, open_end boolean, fits boolean"
+    """The outermost lines at the top and bottom of each event with what decides about them: the first two, and further ones as long
+    as all before them have a head's or page number's form. ``rank`` counts the lines of a head's form from the edge."""
+    schema = "video_id string, frame_index bigint, event_id bigint, line_pos int, at_top boolean, depth int, rank int, key string, page string, number bigint, marked boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             rows = []
@@ -210,27 +254,41 @@ def edge_lines(events: DataFrame) -> DataFrame:
                 if is_code(text, flag):
                     continue
                 lines = text.split("\n")
-                n = len(lines)
                 for top in (True, False):
-                    for depth in range(min(2, n)):
-                        pos = depth if top else n - 1 - depth
-                        line = lines[pos]
-                        page = None
-                        if is_page(line):
-                            page = "bare" if _BARE.match(line) else regex.sub(r"[\dlOoI|]+|\b[ivxlc]+\b", "#", line.strip())
-                        # next to a head stands the begin or end of a sentence
-                        near = lines[pos + 1] if top and pos + 1 < n else lines[pos - 1] if not top and pos else ""
-                        if page or not near.strip() or is_page(near):
-                            fits = True
-                        else:
-                            fits = not regex.match(r"\s*\p{Ll}", near) if top else bool(_ENDS.search(near)) or bool(regex.search(r"[–—-]\s*$", near))
-                        rows.append((video, frame, event, pos, top, depth, "" if page else line_key(line), page, not _ENDS.search(line), fits))
+                    rows += [(video, frame, event, pos, top, *rest) for pos, *rest in edge_of(lines, top)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return _base(events).select(*_BASE).mapInArrow(run, schema)
 
 
+def edge_of(lines: list[str], top: bool) -> Iterator[tuple]:
+    """(line_pos, depth, rank, key, page style, number, marked) from the edge inwards; key is null where a line is no head by its form."""
+    n, rank = len(lines), 0
+    for depth in range(n):
+        pos = depth if top else n - 1 - depth
+        line = lines[pos]
+        if page := page_of(line):
+            yield pos, depth, None, None, *page
+            continue
+        # next to a head stands the begin or end of a sentence, or its page number
+        inner = pos + 1 if top else pos - 1
+        near = lines[inner] if 0 <= inner < n else ""
+        if not near.strip() or is_page(near):
+            fits = True
+        elif top:
+            fits = not regex.match(r"\s*\p{Ll}", near)
+        else:
+            fits = bool(_ENDS.search(near)) or bool(regex.search(r"[–—-]\s*$", near))
+        key = line_key(line) if not _ENDS.search(line) else ""
+        may = len(key) >= MIN_HEAD
+        if may or depth < 2:
+            yield pos, depth, rank if may else None, key if may else None, "fits" if may and fits else None, None, None
+        if not (may and fits):
+            return
+        rank += 1
+
+
 def _alike(a: str, b: str) -> bool:
     """One line as read twice: equal, cut at its begin, or nearly equal where both are whole."""
     if min(len(a), len(b)) < 8:
@@ -242,93 +300,139 @@ def _alike(a: str, b: str) -> bool:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.9
 
 
-def supported_keys(holders: dict[str, set[int]]) -> dict[str, int]:
-    """In how many events each key's line stands, in whatever shape; keys that share pieces of five characters are compared."""
+def alike_keys(keys: list[str]) -> dict[str, list[str]]:
+    """Of each key, the keys (itself too) whose line is the same in another shape; keys that share pieces of five characters are compared."""
     pieces: dict[str, list[str]] = defaultdict(list)
-    for key in holders:
-        for piece in {key[i : i + 5] for i in range(0, max(1, len(key) - 4))}:
+    own = {key: {key[i : i + 5] for i in range(0, max(1, len(key) - 4))} for key in keys}
+    for key, mine in own.items():
+        for piece in mine:
             pieces[piece].append(key)
     out = {}
-    for key, own in holders.items():
+    for key, mine in own.items():
         shared: dict[str, int] = defaultdict(int)
-        mine = {key[i : i + 5] for i in range(0, max(1, len(key) - 4))}
         for piece in mine:
             for other in pieces[piece]:
                 shared[other] += 1
-        events = set(own)
-        for other, n in shared.items():
-            if other != key and 3 * n >= min(len(mine), max(1, len(other) - 4)) and _alike(key, other):
-                events |= holders[other]
-        out[key] = len(events)
+        out[key] = [key, *(other for other, n in shared.items() if other != key and 3 * n >= min(len(mine), max(1, len(other) - 4)) and _alike(key, other))]
     return out
 
 
-def head_and_page_lines(events: DataFrame) -> DataFrame:
+def head_and_page_lines(events: DataFrame, range_frames: int = FRAMES_PER_RANGE) -> DataFrame:
     """(event_id, line_pos, noise) of running heads and page numbers.
 
-    A video's events are spread over ranges of FRAMES_PER_RANGE frames; each range also sees FRAMES_MARGIN frames on either
-    side, more than a head's chunk lasts, so a busy video is many groups and none depends on another.
+    A video's events are spread over ranges of ``range_frames`` frames; each range also sees HEAD_FRAMES frames on either side,
+    and an event is compared with those within HEAD_FRAMES of itself alone. So a busy video is many groups and none depends on
+    another, nor on where the ranges are cut.
     """
-    first = F.floor((F.col("frame_index") - FRAMES_MARGIN) / FRAMES_PER_RANGE)
-    last = F.floor((F.col("frame_index") + FRAMES_MARGIN) / FRAMES_PER_RANGE)
     lines = edge_lines(events).dropDuplicates(["event_id", "line_pos", "at_top"])
-    entity = F.coalesce("video_id", F.concat(F.lit("\x00"), F.col("event_id").cast("string")))
-    spread = lines.withColumn("entity", entity).withColumn("slot", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    lone = F.col("video_id").isNull() | F.col("frame_index").isNull()
+    entity = F.when(lone, F.concat(F.lit("\x00"), F.col("event_id").cast("string"))).otherwise(F.col("video_id"))
+    lines = lines.withColumns({"entity": entity, "frame_index": F.when(lone, F.lit(0)).otherwise(F.col("frame_index"))})
+    first, last = (F.floor((F.col("frame_index") + m) / range_frames).cast("long") for m in (-HEAD_FRAMES, HEAD_FRAMES))
+    spread = lines.drop("video_id").withColumn("slot", F.explode(F.sequence(first, last)))
 
     def decide(table: pa.Table) -> pa.Table | None:
-        columns = {c: table.column(c).to_pylist() for c in ("entity", "slot", "frame_index", "event_id", "line_pos", "at_top", "depth", "key", "page", "open_end", "fits")}
+        columns = {c: table.column(c).to_pylist() for c in ("entity", "slot", "frame_index", "event_id", "line_pos", "at_top", "depth", "rank", "key", "page", "number", "marked")}
         groups: dict[tuple, list[int]] = defaultdict(list)
         for i, g in enumerate(zip(columns["entity"], columns["slot"])):
             groups[g].append(i)
         rows: list[tuple[int, int, str]] = []
         for (_, slot), members in groups.items():
-            _decide(columns, members, slot, rows)
+            _decide(columns, members, range(slot * range_frames, (slot + 1) * range_frames), rows)
         return pa.table({"event_id": pa.array([r[0] for r in rows], pa.int64()), "line_pos": pa.array([r[1] for r in rows], pa.int32()), "noise": pa.array([r[2] for r in rows], pa.string())}) if rows else None
 
     found = map_groups(spread, ["entity", "slot"], decide, "event_id bigint, line_pos int, noise string")
     return found.distinct()
 
 
-def _decide(columns: dict[str, list], members: list[int], slot: int, rows: list[tuple[int, int, str]]) -> None:
-    c = columns
-    sides: dict[tuple[int, bool], dict[int, int]] = defaultdict(dict)
-    styles: dict[tuple[str, bool], set[int]] = defaultdict(set)
+class Support:
+    """In how many events around a frame each key's line stands, in whatever shape."""
+
+    def __init__(self, held: list[tuple[str, int, int]]) -> None:
+        """From (key, frame, event)."""
+        self.places: dict[str, dict[int, int]] = defaultdict(dict)
+        for key, frame, event in held:
+            self.places[key][event] = frame
+        self.alike = alike_keys(list(self.places))
+        self.known: dict[str, list[int]] = {}
+
+    def at(self, key: str, frame: int) -> int:
+        if key not in self.known:
+            events: dict[int, int] = {}
+            for k in self.alike[key]:
+                events |= self.places[k]
+            self.known[key] = sorted(events.values())
+        frames = self.known[key]
+        return bisect_right(frames, frame + HEAD_FRAMES) - bisect_left(frames, frame - HEAD_FRAMES)
+
+
+class Sequences:
+    """The numbers in a page's form of each style and side, in the order of their frames."""
+
+    def __init__(self, numbers: list[tuple[tuple, int, int]]) -> None:
+        """From ((style, side), frame, number)."""
+        self.runs: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        for of, frame, number in numbers:
+            self.runs[of].append((frame, number))
+        for run in self.runs.values():
+            run.sort()
+
+    def confirm(self, of: tuple, frame: int, number: int, may_be_alone: bool) -> bool:
+        """Whether a number rises or falls with another one near it, or has none near and may be alone."""
+        run = self.runs[of]
+        alone = True
+        for f, v in run[bisect_left(run, (frame - HEAD_FRAMES,)) : bisect_right(run, (frame + HEAD_FRAMES, float("inf")))]:
+            if f != frame:
+                alone = False
+                if 0 < (v - number) * (1 if f > frame else -1) <= PAGE_STEP:
+                    return True
+        return alone and may_be_alone
+
+
+def _decide(c: dict[str, list], members: list[int], frames: range, rows: list[tuple[int, int, str]]) -> None:
+    sides: dict[tuple[int, bool], list[int]] = defaultdict(list)
     for i in members:
-        sides[c["event_id"][i], c["at_top"][i]][c["depth"][i]] = i
-        if c["page"][i]:
-            styles[c["page"][i], c["at_top"][i]].add(c["event_id"][i])
-    # of each side, the outermost line that isn't a page number may be a head
-    holders: dict[str, set[int]] = defaultdict(set)
-    candidate: dict[tuple[int, bool], int] = {}
-    for side, by_depth in sides.items():
-        i = next((by_depth[k] for k in sorted(by_depth) if not c["page"][by_depth[k]]), None)
-        if i is not None and c["open_end"][i] and len(c["key"][i]) >= 5:
-            candidate[side] = i
-            holders[c["key"][i]].add(side[0])
-    support = supported_keys(holders)
-    for (event, top), by_depth in sides.items():
-        i = candidate.get((event, top))
-        n = support[c["key"][i]] if i is not None else 0
-        head = i if n >= 3 and c["fits"][i] or n >= 2 and c["fits"][i] and len(c["key"][i]) >= 12 else None
-        mine = by_depth[0]
-        if c["frame_index"][mine] // FRAMES_PER_RANGE != slot:
+        sides[c["event_id"][i], c["at_top"][i]].append(i)
+    held: dict[int, list] = defaultdict(list)
+    numbers = []
+    for side in sides.values():
+        side.sort(key=lambda i: c["depth"][i])
+        for i in side:
+            if c["rank"][i] is not None:
+                held[c["rank"][i]].append((c["key"][i], c["frame_index"][i], c["event_id"][i]))
+            elif c["number"][i] is not None:
+                numbers.append(((c["page"][i], c["at_top"][i]), c["frame_index"][i], c["number"][i]))
+    support = {rank: Support(h) for rank, h in held.items()}
+    sequences = Sequences(numbers)
+    for (event, top), side in sides.items():
+        frame = c["frame_index"][side[0]]
+        if frame not in frames:
             continue  # another range decides about this event
-        if head is not None:
-            rows.append((event, c["line_pos"][head], "running_head"))
-        if c["page"][mine]:
-            rows.append((event, c["line_pos"][mine], "page_number"))
-        elif head == mine and 1 in by_depth and (page := c["page"][by_depth[1]]):
-            # under a head, a page's form is enough; a bare number must be the event's only one and the range's custom
-            other = sides.get((event, not top), {}).get(0)
-            if page != "bare" or ((other is None or not c["page"][other]) and len(styles[page, top]) >= 2):
-                rows.append((event, c["line_pos"][by_depth[1]], "page_number"))
+        numbered = False
+        for i in side:
+            if c["number"][i] is not None:
+                # one number a side: outermost or under a head; a bare one under a head isn't a second one of the event
+                style, number, marked = c["page"][i], c["number"][i], c["marked"][i]
+                other = sides.get((event, not top))
+                second = numbered or (c["depth"][i] > 0 and not marked and other and c["number"][other[0]] is not None)
+                may_be_alone = number < 1000 and not (style == "i" and number in (1, 5, 10))
+                if second or not (marked or sequences.confirm((style, top), frame, number, may_be_alone)):
+                    break
+                rows.append((event, c["line_pos"][i], "page_number"))
+                numbered = True
+                continue
+            if c["page"][i] != "fits":
+                break
+            n = support[c["rank"][i]].at(c["key"][i], frame)
+            if not (n >= 3 or n >= 2 and len(c["key"][i]) >= 12):
+                break
+            rows.append((event, c["line_pos"][i], "running_head"))
 
 
 def word_noise(events: DataFrame, words: DataFrame, wrong: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cuts, misreads): (event_id, line_pos, joined) and (event_id, line_pos, word, fix)."""
     spark = events.sparkSession
-    n_wrong = wrong.count()
-    fixes = spark.sparkContext.broadcast({r["word"]: r["fix"] for r in wrong.collect()}) if n_wrong <= BROADCAST_WORDS else None
+    fixes = spark.sparkContext.broadcast(frozenset(r["word"] for r in wrong.select("word").collect())) if wrong.count() <= BROADCAST_WORDS else None
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = fixes.value if fixes is not None else None
@@ -346,14 +450,14 @@ def word_noise(events: DataFrame, words: DataFrame, wrong: DataFrame) -> tuple[D
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.string()] * 3))], names=["event_id", "line_pos", "word", "left", "right"])
 
     tagged = _base(events).select("event_id", "text", "code_likelihood").mapInArrow(tag, "event_id bigint, line_pos int, word string, left string, right string").distinct()
-    if fixes is not None:
-        tagged = materialize(tagged)
-    cut = tagged.filter("left IS NOT NULL").withColumn("joined", F.concat("left", "right"))
-    known = words.filter("n >= 2").select("word")
-    joins = cut.join(known.withColumnRenamed("word", "joined").withColumn("is_word", F.lit(True)), "joined", "left")
-    for side in ("left", "right"):
-        joins = joins.join(known.withColumnRenamed("word", side).withColumn(f"{side}_is_word", F.lit(True)), side, "left")
-    cut = joins.filter("is_word IS NOT NULL OR left_is_word IS NULL OR right_is_word IS NULL").select("event_id", "line_pos", "joined")
+    if fixes is None:
+        tagged = tagged.join(wrong.select("word", F.lit(True).alias("is_wrong")), "word", "left").filter("is_wrong OR left IS NOT NULL").drop("is_wrong")
+    tagged = materialize(tagged)
+    cut = tagged.filter("left IS NOT NULL").select("event_id", "line_pos", "left", "right", F.concat("left", "right").alias("joined"))
+    for part in ("joined", "left", "right"):
+        cut = cut.join(words.select(F.col("word").alias(part), F.col("n").alias(f"n_{part}")), part, "left")
+    count = lambda part: F.coalesce(f"n_{part}", F.lit(0))
+    cut = cut.filter(count("joined") * JOINED_RARITY >= F.least(count("left"), count("right"))).select("event_id", "line_pos", "joined")
 
     return cut, tagged.filter("word IS NOT NULL").select("event_id", "line_pos", "word").join(wrong, "word")
 
