@@ -74,7 +74,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_spans(table(spark, d, "documents"))[0].select("doc_a", "doc_b", "a_start", "b_start", "length")
+    return spans.shared_spans(table(spark, d, "documents"))[0]
+
+
+def p8_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return spans.fuzzy_passages(table(spark, d, "documents"))
+
+
+def p8_members(spark: SparkSession, d: str) -> DataFrame:
+    return spans.passage_members(table(spark, d, "documents"))
 
 
 def p8_shared_share(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +98,7 @@ WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event W
            FROM e JOIN s ON e.video_id = s.video_id AND a <= t + 10 AND b >= t - 10)
 """
 
-_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_shared_share)
+_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_fuzzy, p8_members, p8_shared_share)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 _P3 = f"""

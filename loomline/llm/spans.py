@@ -2,12 +2,16 @@
 
 Seeds are the minimizers of a text's k-mers: of each ``span - k + 1`` neighbouring k-mers the one with the
 smallest hash. Any span of ``span`` equal characters has the same minimizers in both texts, so every shared span of
-that length meets in at least one seed; nothing else is moved but a hash and a position. Texts that are equal as a whole are
-joined as one class first. Pairs come from the seed join, their seeds are chained in order with gap costs
-through a Fenwick tree, and each chain is aligned: its seeds grow to their longest exact extents.
+that length meets in at least one seed. Texts that are equal as a whole are joined as one class first.
 
-A seed with very many holders isn't paired within one task: the holders' join is Spark's shuffle join, whose
-skewed keys adaptive execution splits, and a pair is emitted once however many seeds it shares.
+Pairs aren't made within a seed: a passage that many texts hold would give the square of their number, each with both texts. Instead
+the texts with shared seeds are read once more, and each window of ``span`` characters around such a seed gives its hash. The texts
+that hold a window are its holders; windows with the same holders are one passage, its holder with the smallest id represents
+it, and only the representative is compared with each other holder. For such a pair the seeds are chained in order with gap costs
+through a Fenwick tree, and each chain is aligned: its seeds grow to their longest exact extents (the spans), and the gaps between
+them are aligned too (the fuzzy passages). A passage's holders that have a span with its representative are linked to each other.
+
+Hot seeds and windows are only ever pre-aggregated or joined on, never collected into one task.
 
 Defined results
   * null and empty texts, and texts shorter than the span: no rows.
@@ -192,6 +196,10 @@ def align(x: str, y: str, anchors: list[tuple[int, int]], k: int) -> list[tuple[
     return [(i, j, n) for (i, j), n in found.items()]
 
 
+#: So many pairs of a seed's places are looked at together.
+PLACE_PAIRS = 1_000_000
+
+
 def anchors_of(seed_places: list[tuple[list[int], list[int]]], x: str, y: str, k: int) -> tuple[list[int], list[int]]:
     """Anchors of a pair. Where a text repeats itself, a seed has many places in both: of those on one diagonal only such are
     left out as an exact match that is already grown covers, so each maximal match keeps an anchor."""
@@ -205,15 +213,18 @@ def anchors_of(seed_places: list[tuple[list[int], list[int]]], x: str, y: str, k
                     a.append(p)
                     b.append(q)
             continue
-        xs, ys = np.array(at_x, np.int64), np.array(at_y, np.int64)
-        diagonal = (xs[:, None] - ys[None, :]).ravel()
-        place = np.repeat(xs, len(ys))
-        order = np.lexsort((place, diagonal))
-        diagonal, place = diagonal[order], place[order]
-        # k-mers that touch or overlap on a diagonal lie in one match, whatever the texts' own repetition
-        first = np.ones(len(place), bool)
-        first[1:] = (diagonal[1:] != diagonal[:-1]) | (place[1:] - place[:-1] > k)
-        many.append((diagonal[first], place[first]))
+        ys = np.array(at_y, np.int64)
+        step = max(1, PLACE_PAIRS // len(ys))
+        for at in range(0, len(at_x), step):
+            xs = np.array(at_x[at : at + step], np.int64)
+            diagonal = (xs[:, None] - ys[None, :]).ravel()
+            place = np.repeat(xs, len(ys))
+            order = np.lexsort((place, diagonal))
+            diagonal, place = diagonal[order], place[order]
+            # k-mers that touch or overlap on a diagonal lie in one match, whatever the texts' own repetition
+            first = np.ones(len(place), bool)
+            first[1:] = (diagonal[1:] != diagonal[:-1]) | (place[1:] - place[:-1] > k)
+            many.append((diagonal[first], place[first]))
     if many:
         diagonals, places = (np.concatenate(m) for m in zip(*many))
         order = np.lexsort((places, diagonals))
@@ -228,6 +239,44 @@ def anchors_of(seed_places: list[tuple[list[int], list[int]]], x: str, y: str, k
     return a, b
 
 
+def chained_matches(x: str, y: str, seeds_x: dict[int, list[int]], seeds_y: dict[int, list[int]], k: int, gap: float) -> Iterator[list[tuple[int, int, int]]]:
+    """The exact matches of each chain of seeds that two texts share."""
+    a, b = anchors_of([(at, seeds_y[s]) for s, at in seeds_x.items() if s in seeds_y], x, y, k)
+    for path in chain(a, b, k, gap):
+        if matches := align(x, y, [(a[i], b[i]) for i in path], k):
+            yield matches
+
+
+def common_characters(x: str, y: str) -> int:
+    """The length of the longest common subsequence, with a bit per character of x: linear steps over y."""
+    if not x or not y:
+        return 0
+    places: dict[str, int] = {}
+    for i, ch in enumerate(x):
+        places[ch] = places.get(ch, 0) | (1 << i)
+    row = full = (1 << len(x)) - 1
+    for ch in y:
+        hit = row & places.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
+
+def align_chain(x: str, y: str, spans: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
+    """(begin and end in x, begin and end in y, characters in common) of a chain's exact matches with the gaps between them aligned."""
+    placed: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(spans):
+        if placed:
+            over = max(0, placed[-1][0] + placed[-1][2] - i, placed[-1][1] + placed[-1][2] - j)
+            i, j, n = i + over, j + over, n - over
+        if n > 0:
+            placed.append((i, j, n))
+    common = sum(n for _, _, n in placed)
+    for (i, j, n), (p, q, _) in zip(placed, placed[1:]):
+        common += common_characters(x[i + n : p], y[j + n : q])
+    (i, j, _), (p, q, n) = placed[0], placed[-1]
+    return i, p + n, j, q + n, common
+
+
 def text_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> tuple[DataFrame, DataFrame]:
     """(texts, membership): equal texts are one class, named by its smallest id.
 
@@ -242,65 +291,126 @@ def text_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     return base, members
 
 
-def shared_spans(documents: DataFrame, span: int = 300, k: int = 100, gap: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(matches, membership). matches: (doc_a, doc_b, a_start, b_start, length, chain, chain_a_end, chain_b_end) between class
-    representatives, one row per maximal exact match of ``span`` or more characters, with the chain it lies in."""
+def window_hashes(df: DataFrame, k: int, span: int) -> DataFrame:
+    """(doc_id, window) of each window of ``span`` characters around one of the seeds of (doc_id, text, hits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits"))):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                h = kmer_hashes(codes, span)
+                marks = np.zeros(len(h) + 1, np.int64)
+                for hit in hits:
+                    # of the windows that hold the seed, others may have another smallest; they are some text's shared windows or nobody's
+                    at = np.array(hit["places"], np.int64)
+                    np.add.at(marks, np.maximum(at - (span - k), 0), 1)
+                    np.add.at(marks, np.minimum(at + 1, len(h)), -1)
+                found = np.unique(h[np.cumsum(marks)[:-1] > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc, np.int64)), pa.array(found.view(np.int64))], names=["doc_id", "window"])
+
+    return df.select("doc_id", "text", "hits").mapInArrow(run, "doc_id bigint, window bigint")
+
+
+def passage_holders(windows: DataFrame) -> DataFrame:
+    """(passage, head, doc_id) of (doc_id, window): the holders of each passage, windows with the same holders being one.
+
+    A set of holders is known by two sums (exclusive or) of the ids' hashes, their number and the smallest id.
+    """
+    sums = [F.bit_xor(F.xxhash64("doc_id", F.lit(salt))).alias(f"sum_{salt}") for salt in (1, 2)]
+    held = windows.groupBy("window").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"), *sums).filter("n > 1")
+    passages = held.groupBy("head", "n", "sum_1", "sum_2").agg(F.min("window").alias("window")).select("window", "head")
+    return windows.join(passages, "window").select(F.col("window").alias("passage"), "head", "doc_id")
+
+
+def compared(documents: DataFrame, span: int = 300, k: int = 100, gap: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, holders, membership): what comparing each passage's representative with its other holders gives, the holders of each
+    passage, and the classes of equal texts. found has a row per exact span (chain null) and per chain (as its alignment)."""
     texts, members = text_classes(documents, doc_id, text, span)
     members = materialize(members)
     # seeds of all rows are taken first and then cut to the representatives': no text is moved for it
     found = seeds(texts, k, span).join(members.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    found = materialize(found)
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
-    # the seeds that two texts share are few: they are kept, and only they are paired
-    hits = materialize(found.join(shared, "seed").groupBy("seed", "doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places")))
-    left, right = (hits.select("seed", F.col("doc_id").alias(f"doc_{x}"), F.col("places").alias(f"places_{x}")) for x in "ab")
-    pairs = left.join(right, "seed").filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.collect_list(F.struct("places_a", "places_b")).alias("anchors"))
-    used = texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    with_texts = pairs.join(used.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(used.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    # the seeds that two texts share are few; only their texts are moved, once
+    hits = found.join(shared, "seed").groupBy("doc_id", "seed").agg(F.sort_array(F.collect_set("pos")).alias("places")).groupBy("doc_id").agg(F.collect_list(F.struct("seed", "places")).alias("hits"))
+    used = materialize(texts.join(hits, "doc_id").dropDuplicates(["doc_id"]))
+    holders = materialize(passage_holders(window_hashes(used, k, span)))
+    pairs = holders.filter("doc_id != head").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b")).distinct()
+    for side in "ba":
+        pairs = pairs.join(used.select(F.col("doc_id").alias(f"doc_{side}"), F.col("text").alias(f"text_{side}"), F.col("hits").alias(f"hits_{side}")), f"doc_{side}")
+    names = ["doc_a", "doc_b", "a_start", "a_end", "b_start", "b_end", "length", "n_spans", "chain"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_a", "doc_b", "a_start", "b_start", "length", "chain", "chain_a_end", "chain_b_end"]
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * 7]
         for batch in batches:
-            rows = []
-            for a, b, anchors, x, y in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                at_a, at_b = anchors_of([(p["places_a"], p["places_b"]) for p in anchors], x, y, k)
-                for n, path in enumerate(chain(at_a, at_b, k, gap)):
-                    spans = align(x, y, [(at_a[i], at_b[i]) for i in path], k)
-                    ends = max(i + m for i, _, m in spans) if spans else 0, max(j + m for _, j, m in spans) if spans else 0
-                    rows += [(a, b, i, j, m, n, *ends) for i, j, m in spans if m >= span]
-            if rows:
-                types = [pa.int64(), pa.int64(), *[pa.int32()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    matches = with_texts.select("doc_a", "doc_b", "anchors", "text_a", "text_b").mapInArrow(
-        run, "doc_a bigint, doc_b bigint, a_start int, b_start int, length int, chain int, chain_a_end int, chain_b_end int"
-    )
-    return matches.dropDuplicates(["doc_a", "doc_b", "a_start", "b_start"]), members
+            for row in range(batch.num_rows):
+                a, b, x, y, hits_a, hits_b = (batch.column(c)[row].as_py() for c in ("doc_a", "doc_b", "text_a", "text_b", "hits_a", "hits_b"))
+                places = [{h["seed"]: h["places"] for h in hits} for hits in (hits_a, hits_b)]
+                rows: list[tuple] = []
+                for n, matches in enumerate(chained_matches(x, y, *places, k, gap)):
+                    rows += [(a, b, i, i + m, j, j + m, m, 1, None) for i, j, m in matches if m >= span]
+                    rows.append((a, b, *align_chain(x, y, matches), len(matches), n))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+
+    schema = "doc_a bigint, doc_b bigint, " + ", ".join(f"{c} int" for c in names[2:])
+    return pairs.select("doc_a", "doc_b", "text_a", "text_b", "hits_a", "hits_b").mapInArrow(run, schema), holders, members
+
+
+def shared_spans(documents: DataFrame, span: int = 300, **kw) -> tuple[DataFrame, DataFrame]:
+    """(matches, membership). matches: (doc_a, doc_b, a_start, b_start, length), one row per maximal exact match of ``span`` or more
+    characters between a passage's representative and each other text that holds the passage."""
+    found, _, members = compared(documents, span, **kw)
+    return found.filter("chain IS NULL").select("doc_a", "doc_b", "a_start", "b_start", "length").distinct(), members
+
+
+def fuzzy_passages(documents: DataFrame, span: int = 300, **kw) -> DataFrame:
+    """(doc_a, doc_b, a_start, a_end, b_start, b_end, common, n_spans, similarity): each chain of ``span`` or more common characters as
+    one passage, aligned over its gaps; similarity is twice the characters in common by those of both sides."""
+    chains = compared(documents, span, **kw)[0].filter((F.col("chain").isNotNull()) & (F.col("length") >= span))
+    both = F.col("a_end") - F.col("a_start") + F.col("b_end") - F.col("b_start")
+    return chains.select("doc_a", "doc_b", "a_start", "a_end", "b_start", "b_end", F.col("length").alias("common"), "n_spans", F.round(2 * F.col("length") / both, 4).alias("similarity")).distinct()
+
+
+def passage_members(documents: DataFrame, **kw) -> DataFrame:
+    """(passage, head, doc_id): the documents, copies included, that hold each passage, with the class that represents it."""
+    _, holders, members = compared(documents, **kw)
+    return holders.withColumnRenamed("doc_id", "class_id").join(members.select("class_id", "doc_id"), "class_id").select("passage", "head", "doc_id")
+
+
+def links(found: DataFrame, holders: DataFrame) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: class representatives that hold the same passage and have a span with what represents it."""
+    proven = found.filter("chain IS NULL").select(F.col("doc_a").alias("head"), F.col("doc_b").alias("doc_id")).distinct()
+    held = materialize(holders.join(proven, ["head", "doc_id"], "left_semi").unionByName(holders.filter("doc_id = head")))
+    left, right = (held.select("passage", F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    return left.join(right, "passage").filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
 def found_pairs(documents: DataFrame, span: int = 300, **kw) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of documents that share a span, pairs of copies included."""
-    matches, members = shared_spans(documents, span, **kw)
-    classes = matches.select("doc_a", "doc_b").distinct()
+    found, holders, members = compared(documents, span, **kw)
     of_a = members.select(F.col("class_id").alias("doc_a"), F.col("doc_id").alias("x"))
     of_b = members.select(F.col("class_id").alias("doc_b"), F.col("doc_id").alias("y"))
-    across = classes.join(of_a, "doc_a").join(of_b, "doc_b").select("x", "y")
+    across = links(found, holders).join(of_a, "doc_a").join(of_b, "doc_b").select("x", "y")
     inside = of_a.join(of_b.withColumnRenamed("doc_b", "doc_a"), "doc_a").filter("x < y").select("x", "y")
-    return across.unionByName(inside).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+    # classes are disjoint and linked once, so no pair comes twice
+    return across.unionByName(inside).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 def shared_share(documents: DataFrame, span: int = 300, **kw) -> DataFrame:
     """Per document: its class, the number of other texts it is linked to, and how many of its characters stand elsewhere."""
-    matches, members = shared_spans(documents, span, **kw)
-    matches = materialize(matches)
+    found, holders, members = compared(documents, span, **kw)
+    found = materialize(found)
+    matches = found.filter("chain IS NULL")
     size = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_chars")).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    ends = matches.select(F.col("doc_a").alias("class_id"), F.col("doc_b").alias("other"), F.col("a_start").alias("s"), (F.col("a_start") + F.col("length")).alias("e")).unionByName(
-        matches.select(F.col("doc_b").alias("class_id"), F.col("doc_a").alias("other"), F.col("b_start").alias("s"), (F.col("b_start") + F.col("length")).alias("e"))
-    )
-    links = ends.groupBy("class_id").agg(F.countDistinct("other").alias("n_links"))
+    # every shared span of a text lies in a passage, and is met where the text is compared for it
+    ends = matches.select(F.col("doc_a").alias("class_id"), F.col("a_start").alias("s"), F.col("a_end").alias("e")).unionByName(matches.select(F.col("doc_b").alias("class_id"), F.col("b_start").alias("s"), F.col("b_end").alias("e")))
+    pairs = links(found, holders)
+    both = pairs.select(F.col("doc_a").alias("class_id")).unionByName(pairs.select(F.col("doc_b").alias("class_id")))
+    n_links = both.groupBy("class_id").agg(F.count("*").alias("n_links"))
     # union of intervals: a fold over the distinct starts, each with its farthest end
     spans = ends.groupBy("class_id", "s").agg(F.max("e").alias("e")).groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     covered = F.expr("aggregate(spans, named_struct('n', 0, 'to', -1), (acc, x) -> named_struct('n', acc.n + greatest(0, x.e - greatest(x.s, acc.to)), 'to', greatest(acc.to, x.e)), acc -> acc.n)")
-    by_class = links.join(spans.select("class_id", covered.alias("covered")), "class_id")
+    by_class = n_links.join(spans.select("class_id", covered.alias("covered")), "class_id")
     out = size.join(members, "doc_id", "left").join(by_class, "class_id", "left")
     has_copy = F.coalesce(F.col("n_copies"), F.lit(1)) > 1
     return out.select(
