@@ -12,7 +12,7 @@ PLACEHOLDERS = ("", "auto", "nan", "none", "null", "unknown", "und", "unk", "mul
 def names_of(lang_sample: DataFrame) -> dict[str, str]:
     """Names and codes of the fixed sample's languages to codes: a table of one entry per language."""
     found: dict[str, str] = {}
-    for r in lang_sample.select(F.lower(F.trim("lang")).alias("code"), F.lower(F.trim("lang_name")).alias("name")).filter("code IS NOT NULL").distinct().limit(10_000).collect():
+    for r in lang_sample.select(F.lower(F.trim("lang")).alias("code"), F.lower(F.trim("lang_name")).alias("name")).filter("code IS NOT NULL").distinct().toLocalIterator():
         found[r["code"]] = r["code"]
         if r["name"]:
             found[r["name"]] = r["code"]

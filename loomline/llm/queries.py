@@ -21,11 +21,11 @@ def p2_speech_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.stuck_texts(table(spark, d, "transcript"), table(spark, d, "transcript_segment"))
+    return repetition.stuck_texts(table(spark, d, "transcript"), table(spark, d, "transcript_segment"), lang_sample=table(spark, d, "lang_sample"))
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition(table(spark, d, "transcript"), table(spark, d, "transcript_segment"), gated=False)
+    return repetition.repetition(table(spark, d, "transcript"), table(spark, d, "transcript_segment"), lang_sample=table(spark, d, "lang_sample"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

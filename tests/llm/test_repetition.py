@@ -78,3 +78,35 @@ def test_stuck_text_that_makes_up_its_own_reference(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "transcript_id bigint, text string")
     s = spark.createDataFrame([], "segment_id bigint, text string")
     assert {r["item_id"] for r in R.stuck_texts(t, s).collect()} == set(range(20, 31))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_no_stuck_text_is_under_the_bound(seed):
+    """Whatever the reference, even one learnt from the stuck text itself, a text half of which is repeated isn't ruled out."""
+    rng = random.Random(seed)
+    said = [f"w{int(40 * rng.random() ** 2)}" for _ in range(rng.randrange(8, 60))]
+    words = said * rng.choice([2, 3, 5]) + [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 8))]
+    while R.repeated_share(words) < 0.5:
+        words += said
+    learnt_from = words if seed % 2 else words + [f"w{rng.randrange(500)}" for _ in range(400)]
+    counts = {w: learnt_from.count(w) for w in set(learnt_from)}
+    ref = R.Reference(sorted(counts.items(), key=lambda x: -x[1])[:50], len(learnt_from))
+    assert ref.distance(words) >= ref.bound(len(words))
+
+
+def test_bound_is_the_least_distance():
+    rng = np.random.default_rng(3)
+    ref = R.Reference([("a", 40), ("b", 30), ("c", 20)], 100)
+    least = ref.bound(4)
+    for _ in range(300):
+        p = np.zeros(4)
+        p[rng.choice(4, 2, replace=False)] = rng.dirichlet([1, 1])
+        assert R.js_distance(p, ref.shares) >= least - 1e-9
+    top = np.array([40 / 70, 30 / 70, 0, 0])
+    assert R.js_distance(top, ref.shares) == pytest.approx(least, abs=1e-5)
+
+
+def test_scripts_and_languages_of_whole_texts():
+    assert R.script_of("7" * 500 + " नमस्ते") == "DEVANAGARI" and R.script_of("hello " * 70 + "नमस्ते दुनिया " * 5000) == "DEVANAGARI" and R.script_of("12 3") == "NONE"
+    owners = {"the": "en", "und": "de"}
+    assert R.language_key("", ["the", "und", "und"], owners) == "de" and R.language_key("abc", ["abc"], owners) == "LATIN"
