@@ -3,7 +3,8 @@
 A suffix automaton of each language's labelled text parses a text into the longest pieces that occur in that
 language; the language that needs the fewest pieces (phrases) per character wins. The automata are dense transition
 tables, and all texts of a batch are parsed in lockstep: one table lookup per character position and language
-moves every text at once, so the work is linear in the characters and vectorised.
+moves every text at once, so the work is linear in the characters and vectorised. Texts of more than PIECE characters are parsed in
+pieces that end at blanks, all at once, and their phrases add up; batches are cut by characters, so one long text is no long loop.
 
 The labelled text is lang_sample, a fixed table with a few sentences per language, and a bounded sample of labelled rows:
 SAMPLE_CHARS and SAMPLE_ROWS bound what is taken of each language (bounds of the classifier's fit only; every text to
@@ -15,6 +16,8 @@ Defined results
     per phrase, damped for the length of the text; ties go to the smaller code.
   * a label is compared as its code: names, case, regions and suffixes don't matter; placeholders count as missing.
   * repeated rows count once; extra columns of any name aren't read.
+  * language_spans: sentences of fewer than SPAN_WORDS words are put together, each such part is labelled, and parts in one language
+    that follow each other are one span; a text of one language is one span, a text without words has none.
 """
 
 from __future__ import annotations
@@ -27,10 +30,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import materialize
+
 from .labels import label_key, names_of
 
 SAMPLE_CHARS = 8_000
 SAMPLE_ROWS = 60
+PIECE = 2_000
+#: So many characters are labelled together.
+BATCH_CHARS = 1_500_000
+SPAN_WORDS = 6
+_SENTENCE = regex.compile(r"[^.!?।॥\n]*[.!?।॥\n]+\s*|[^.!?।॥\n]+$")
 _GAP = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -39,6 +49,27 @@ def normalize(text: str) -> str:
     return f" {_GAP.sub(' ', text.lower()).strip()} "
 
 
+def piece_cuts(text: str) -> list[int]:
+    """Where the pieces of a long text begin: at a blank, at most PIECE characters apart, or anywhere in a longer word."""
+    cuts = [0]
+    while len(text) - cuts[-1] > PIECE:
+        at = text.rfind(" ", cuts[-1] + 1, cuts[-1] + PIECE)
+        cuts.append(at if at > 0 else cuts[-1] + PIECE)
+    return cuts
+
+
+def parts_of(sizes: list[int], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` characters each; a longer text is alone or ends its range."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 class CrossParser:
     """One suffix automaton per language, each over its own alphabet: column 0 is any other character."""
 
@@ -119,19 +150,29 @@ class CrossParser:
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         flat = [lookup[np.minimum(points, len(lookup) - 1)] for lookup in self.lookups]
         counts = np.stack([2 * np.add.reduceat(f == 0, begin, dtype=np.int64) for f in flat], axis=1)
+        cuts = [piece_cuts(t) if len(t) > PIECE else (0,) for t in texts]
+        n_pieces = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        owner = np.repeat(np.arange(len(texts)), n_pieces)
+        at = np.fromiter((c for cut in cuts for c in cut), np.int64, len(owner))
+        ends = np.append(at[1:], 0)
+        ends[np.cumsum(n_pieces) - 1] = sizes
+        at, size = at + begin[owner], ends - at
         scale = np.log(np.array(self.sizes))
         parsed = np.zeros(counts.shape, bool)
         first = (counts * scale).argmin(axis=1)
         bound = np.empty(len(texts))
+
+        def parse(k: int, chosen: np.ndarray) -> None:
+            mine = chosen[owner]
+            counts[chosen, k] = 0
+            np.add.at(counts[:, k], owner[mine], self._parse(k, flat[k], at[mine], size[mine]))
+            parsed[chosen, k] = True
+
         for k in range(len(self.codes)):
-            mine = np.flatnonzero(first == k)
-            counts[mine, k] = self._parse(k, flat[k], begin[mine], sizes[mine])
-            parsed[mine, k] = True
-            bound[mine] = counts[mine, k] * scale[k]
+            parse(k, first == k)
+            bound[first == k] = counts[first == k, k] * scale[k]
         for k in range(len(self.codes)):
-            rest = np.flatnonzero((first != k) & (counts[:, k] * scale[k] <= bound))
-            counts[rest, k] = self._parse(k, flat[k], begin[rest], sizes[rest])
-            parsed[rest, k] = True
+            parse(k, (first != k) & (counts[:, k] * scale[k] <= bound))
         return counts, sizes, parsed
 
     def _parse(self, k: int, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -228,9 +269,9 @@ def with_language(df: DataFrame, samples: dict[str, list[str]], keep: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
-                plain = [normalize(t) if t else "  " for t in part.column(len(names)).to_pylist()]
+            every = [normalize(t) if t else "  " for t in batch.column(len(names)).to_pylist()]
+            for at, end in parts_of([len(p) for p in every]):
+                part, plain = batch.slice(at, end - at), every[at:end]
                 lang, sure = parser.classify_plain(plain)
                 words = [p.split() for p in plain]
                 yield pa.RecordBatch.from_arrays(
@@ -241,6 +282,64 @@ def with_language(df: DataFrame, samples: dict[str, list[str]], keep: str) -> Da
     return df.select(*names, "text").mapInArrow(run, f"{keep}, true_lang string, confidence double, n_words bigint, n_distinct bigint")
 
 
+def sentence_parts(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of parts of whole sentences with SPAN_WORDS words or more.
+
+    Shorter sentences are put together; where a long one comes before they have so many words, they go to the part before.
+    """
+    parts: list[tuple[int, int]] = []
+    begin = words = 0
+    for m in _SENTENCE.finditer(text):
+        n = len(normalize(m.group()).split())
+        if n >= SPAN_WORDS and parts and begin < m.start():
+            parts[-1] = (parts[-1][0], m.start())
+            begin, words = m.start(), 0
+        words += n
+        if words >= SPAN_WORDS:
+            parts.append((begin, m.end()))
+            begin, words = m.end(), 0
+    if words and parts:
+        parts[-1] = (parts[-1][0], len(text))
+    elif words:
+        parts.append((0, len(text)))
+    return parts
+
+
+def language_spans(df: DataFrame, samples: dict[str, list[str]], id_column: str = "doc_id") -> DataFrame:
+    """(item_id, span_no, first_char, end_char, n_words, lang, confidence) of each span of one language in the texts of (id, text).
+
+    confidence is the mean of the span's parts, weighted by their words.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(samples)
+    schema = "item_id bigint, span_no int, first_char int, end_char int, n_words int, lang string, confidence double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(shared.value)
+        types = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.float64()]
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, end in parts_of([len(t) for t in texts]):
+                cut = [sentence_parts(t) for t in texts[at:end]]
+                plain = [normalize(t[a:b]) for t, parts in zip(texts[at:end], cut) for a, b in parts]
+                labelled = iter(zip(plain, *parser.classify_plain(plain)))
+                rows: list[tuple] = []
+                for i, parts in zip(ids[at:end], cut):
+                    spans: list[list] = []
+                    for a, b in parts:
+                        p, lang, sure = next(labelled)
+                        n = len(p.split())
+                        if spans and spans[-1][3] == lang:
+                            spans[-1][1], spans[-1][2], spans[-1][4] = b, spans[-1][2] + n, spans[-1][4] + sure * n
+                        elif lang is not None:
+                            spans.append([a, b, n, lang, sure * n])
+                    rows += [(i, k, a, b, n, lang, round(sure / n, 4)) for k, (a, b, n, lang, sure) in enumerate(spans)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in schema.split(", ")])
+
+    base = df.select(F.col(id_column).cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    return base.mapInArrow(run, schema).dropDuplicates(["item_id", "span_no"])
+
+
 def _wrong(label: Column, truth: str) -> Column:
     return F.col(truth).isNotNull() & (label.isNull() | (label != F.col(truth)))
 
@@ -265,7 +364,7 @@ def language_labels(metadata: DataFrame, segments: DataFrame, documents: DataFra
     """
     samples = samples_of(lang_sample, documents)
     known = names_of(lang_sample)
-    spoken = segment_languages(segments, samples)
+    spoken = materialize(segment_languages(segments, samples))  # read twice: texts are parsed once
     main = spoken_languages(spoken)
     label = label_key(F.col("detected_language"), known)
     videos = (

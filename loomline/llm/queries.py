@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomline.functions.fixed import SPACE
 from loomline.session import table
@@ -44,6 +45,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_labels(spark, d).filter("is_wrong").select("item_kind", "item_id", "lang")
 
 
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of one language in documents and transcripts."""
+    documents = table(spark, d, "documents")
+    samples = language.samples_of(table(spark, d, "lang_sample"), documents)
+    kinds = (("document", documents, "doc_id"), ("transcript", table(spark, d, "transcript"), "transcript_id"))
+    a, b = (language.language_spans(df, samples, key).select(F.lit(kind).alias("item_kind"), "*") for kind, df, key in kinds)
+    return a.unionByName(b)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
@@ -98,7 +108,7 @@ WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event W
            FROM e JOIN s ON e.video_id = s.video_id AND a <= t + 10 AND b >= t - 10)
 """
 
-_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_fuzzy, p8_members, p8_shared_share)
+_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p5_spans, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_fuzzy, p8_members, p8_shared_share)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 _P3 = f"""

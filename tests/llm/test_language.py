@@ -73,3 +73,31 @@ def test_empty_tables(spark):
     meta, seg, docs, sample = tables(spark)
     assert language.language_labels(meta.limit(0), seg.limit(0), docs.limit(0), sample).count() == 0
     assert language.language_labels(meta, seg, docs, sample.limit(0)).filter("is_wrong").count() == 0
+
+
+def test_long_texts_are_parsed_in_pieces():
+    parser = language.CrossParser(SAMPLES)
+    short = "we see the old river below the bridge and keep the notes of every teacher "
+    long = [short * 200, "x" * 9000, (short * 40) + "nicht jede lehrerin behält die notizen der stunde " * 200, short]
+    cuts = language.piece_cuts(language.normalize(long[0]))
+    assert max(b - a for a, b in zip(cuts, cuts[1:])) <= language.PIECE and cuts == sorted(set(cuts)) and len(language.piece_cuts("x" * 9000)) == 5
+    lang, sure = parser.classify(long)
+    assert lang[0] == lang[3] == "en" and lang[2] == "de" and sure[0] > 0.9
+    plain = [language.normalize(t) for t in long]
+    counts, _, parsed = parser.phrases(plain)
+    alone = parser.phrases([plain[3]])[0][0]
+    k = parser.codes.index("en")
+    assert parsed[0, k] and abs(counts[0, k] - 200 * alone[k]) <= 200 + len(cuts)
+    assert list(language.parts_of([5, 5, 30, 1, 1], 10)) == [(0, 2), (2, 3), (3, 5)] and list(language.parts_of([])) == []
+
+
+def test_spans_of_mixed_texts(spark):
+    en, de = "We see the old river below the bridge. Every teacher keeps the notes of the lesson.", "Wir sehen den alten Fluss unter der Brücke. Jede Lehrerin behält die Notizen."
+    rows = [(1, f"{en} {de} {en}", 0), (1, f"{en} {de} {en}", 0), (2, de, 0), (3, "", 0), (4, None, 0), (5, "12. 34!", 0), (None, en, 0), (6, "Ja.", 0)]
+    got = {}
+    for r in language.language_spans(spark.createDataFrame(rows, "doc_id bigint, text string, lang int"), SAMPLES).collect():
+        got.setdefault(r["item_id"], []).append((r["span_no"], r["lang"], r["first_char"], r["end_char"], r["confidence"]))
+    spans = sorted(got[1])
+    text = rows[0][1]
+    assert [s[1] for s in spans] == ["en", "de", "en"] and text[spans[1][2] : spans[1][3]].strip() == de and all(0.5 < s[4] <= 1 for s in spans)
+    assert [s[1] for s in got[2]] == ["de"] and set(got) <= {1, 2, 6}
