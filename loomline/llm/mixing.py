@@ -35,7 +35,7 @@ from .labels import label_key
 VOCABULARY = os.environ.get("LOOMLINE_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: How words are cut before merging, as this vocabulary expects it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Domains by the part of a source's name; the first that occurs in it.
+#: Domains of the tree by the part of a source's name, the first that occurs in it; a parameter of plan, draw and budgeted.
 DOMAINS = {"asr": "speech", "caption": "speech", "ocr": "screen", "code": "screen", "notes": "notes", "handout": "notes", "glossary": "notes"}
 #: Records of one leaf are summed in so many hash ranges, so no task ever orders a whole leaf.
 SLICES = 4096
@@ -49,21 +49,26 @@ def source_key(column: Column | str) -> Column:
 _encoders: dict[str, object] = {}
 
 
-def _encoder(path: str):
+def _encoder(path: str, content: bytes | None = None):
+    """Built once in a worker, however many tasks it runs; of the file's ``content``, or of the file."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if content is None:
+            with open(path, "rb") as f:
+                content = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
 def with_tokens(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, lang, n_tokens) of each row."""
+    """(doc_id, source, lang, n_tokens) of each row. The vocabulary is read by the driver and sent to the executors: a file of fixed size."""
+    with open(vocabulary, "rb") as f:
+        content = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, content.value)
         for batch in batches:
             counts = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
             columns = [batch.column(c) for c in ("doc_id", "source", "lang")]
@@ -179,12 +184,12 @@ def budgets(measured: DataFrame, mix: DataFrame, size: int | None = None, domain
     return [(s, l, tokens[s, l], wanted[s]["max_repeats"], leaf.budget) for d in root.below.values() for l, language in d.below.items() for s, leaf in language.below.items()], size
 
 
-def budgeted(measured: DataFrame, mix: DataFrame, size: int | None = None) -> DataFrame:
+def budgeted(measured: DataFrame, mix: DataFrame, size: int | None = None, domains: dict[str, str] = DOMAINS) -> DataFrame:
     """Per target source: the budget and the capacity of its leaves in the planned tree, and whether it stays under its share.
 
     A source stays under when all its leaves together can't hold its target of the mix, whatever the tree gives them.
     """
-    leaves, size = budgets(measured, mix, size)
+    leaves, size = budgets(measured, mix, size, domains)
     of_leaf = measured.sparkSession.createDataFrame(leaves, "source string, lang string, leaf_tokens bigint, max_repeats int, budget double")
     own = of_leaf.groupBy("source").agg(F.sum("budget").alias("budget"), F.sum(F.col("leaf_tokens") * F.col("max_repeats")).alias("capacity"))
     return (
@@ -196,11 +201,23 @@ def budgeted(measured: DataFrame, mix: DataFrame, size: int | None = None) -> Da
     )
 
 
-def draw(measured: DataFrame, mix: DataFrame, seed: int = 17, size: int | None = None) -> DataFrame:
+def redistribution(measured: DataFrame, mix: DataFrame, size: int | None = None, domains: dict[str, str] = DOMAINS) -> DataFrame:
+    """(source_name, domain, target_tokens, capacity, budget, moved) per target source: moved is what it takes over from others that
+    can't fill their shares (positive), or can't fill itself (negative)."""
+    plans = budgeted(measured, mix, size, domains)
+    total = size if size is not None else measured.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    domain = F.lit("other")
+    for part, name in reversed(domains.items()):
+        domain = F.when(F.contains("source", F.lit(part)), name).otherwise(domain)
+    wanted = F.col("target_share") * F.lit(float(total))
+    return plans.select("source_name", domain.alias("domain"), F.round(wanted).cast("long").alias("target_tokens"), F.col("capacity").cast("long").alias("capacity"), F.round("budget").cast("long").alias("budget"), F.round(F.col("budget") - wanted).cast("long").alias("moved"))
+
+
+def draw(measured: DataFrame, mix: DataFrame, seed: int = 17, size: int | None = None, domains: dict[str, str] = DOMAINS) -> DataFrame:
     """(doc_id, source, lang, n_tokens, repeats): the records of the mix with how often each is used."""
     spark = measured.sparkSession
     measured = materialize(measured)
-    leaves = spark.createDataFrame(plan(measured, mix, size), "source string, lang string, leaf_tokens bigint, max_repeats int, budget double")
+    leaves = spark.createDataFrame(plan(measured, mix, size, domains), "source string, lang string, leaf_tokens bigint, max_repeats int, budget double")
     epochs = F.floor(F.col("budget") / F.greatest(F.col("leaf_tokens"), F.lit(1))).cast("int")
     # the records of the last, partial epoch: a token-prefix in the seeded order, summed over hash ranges first
     rows = measured.filter("n_tokens > 0").join(F.broadcast(leaves), ["source", "lang"]).withColumn("whole", F.least(epochs, F.col("max_repeats")))

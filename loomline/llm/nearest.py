@@ -43,8 +43,13 @@ def nearest_in_time(
     end: str = "end_s",
     tolerance: float = 10.0,
     range_s: float = 600.0,
+    wide_s: float = 7200.0,
 ) -> DataFrame:
-    """(event_id, segment_id, distance): each event with its nearest segment of the same entity within the tolerance."""
+    """(event_id, segment_id, distance): each event with its nearest segment of the same entity within the tolerance.
+
+    Segments longer than ``wide_s`` find their ranges by a join with the entity's events instead of being spread over all of
+    them; the result is the same.
+    """
     left = (
         events.select(F.col(entity).alias("entity"), F.col(event_id).alias("id"), _finite(event_time).alias("a"))
         .filter("entity IS NOT NULL AND a IS NOT NULL AND id IS NOT NULL")
@@ -55,15 +60,13 @@ def nearest_in_time(
         .filter("entity IS NOT NULL AND a IS NOT NULL AND id IS NOT NULL")
         .withColumn("b", F.greatest("a", F.coalesce("b", "a")))
     )
-    # no event lies outside these bounds, so an absurdly long segment isn't spread beyond them
-    lo, hi = left.agg(F.min("slot")).scalar(), left.agg(F.max("slot")).scalar()
-    first = F.when(lo.isNotNull(), F.greatest(F.floor((F.col("a") - tolerance) / range_s).cast("long"), lo))
-    last = F.least(F.floor((F.col("b") + tolerance) / range_s).cast("long"), hi)
-    right = (
-        right.withColumns({"first": first, "last": last})
-        .filter("first <= last")
-        .select("entity", F.explode(F.sequence("first", "last")).alias("slot"), F.lit(True).alias("is_segment"), "id", "a", "b")
-    )
+    spread = right.withColumns({"first": F.floor((F.col("a") - tolerance) / range_s).cast("long"), "last": F.floor((F.col("b") + tolerance) / range_s).cast("long")})
+    is_wide = F.col("b") - F.col("a") > wide_s
+    narrow = spread.filter(~is_wide).select("entity", F.explode(F.sequence("first", "last")).alias("slot"), "id", "a", "b")
+    # a segment with an absurd end goes only to the ranges where its entity has events
+    slots = left.select("entity", "slot").distinct()
+    wide = spread.filter(is_wide).join(slots, "entity").filter("slot BETWEEN first AND last").select("entity", "slot", "id", "a", "b")
+    right = narrow.unionByName(wide).select("entity", "slot", F.lit(True).alias("is_segment"), "id", "a", "b")
 
     def pair(table: pa.Table) -> pa.Table | None:
         slot = table.column("slot").to_numpy()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.fixed import SPACE
-from loomline.session import table
+from loomline.session import materialize, table
 
 from . import language, leakage, mixing, nearest, repetition, scans, spans
 
@@ -79,6 +79,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.actual_shares(mixing.draw(_sizes(spark, d), mix), mix)
 
 
+def p7_redistribution(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.redistribution(materialize(_sizes(spark, d)), table(spark, d, "mix_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.found_pairs(table(spark, d, "documents"))
 
@@ -108,7 +112,7 @@ WITH e AS (SELECT DISTINCT event_id, video_id, timestamp_s AS t FROM ocr_event W
            FROM e JOIN s ON e.video_id = s.video_id AND a <= t + 10 AND b >= t - 10)
 """
 
-_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p5_spans, p6_found, p6_report, p7_found, p7_mix, p7_shares, p8_found, p8_passages, p8_fuzzy, p8_members, p8_shared_share)
+_NAMED = (p2_found, p2_speech_context, p3_found, p3_shares, p4_found, p4_paragraphs, p5_found, p5_labels, p5_spans, p6_found, p6_report, p7_found, p7_mix, p7_shares, p7_redistribution, p8_found, p8_passages, p8_fuzzy, p8_members, p8_shared_share)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 _P3 = f"""

@@ -132,3 +132,16 @@ def test_odd_rows(spark):
     items = [(1, item), (1, item), (2, item), (3, None), (4, "one two"), (5, "")]
     assert leaks(spark, docs, items) == {(1, 1), (1, 2), (5, 1), (5, 2)}
     assert leaks(spark, docs, []) == set() and leaks(spark, [], items) == set()
+
+
+def test_both_ways_of_the_items_shingles(spark, monkeypatch):
+    """Sent to the executors or joined by shuffle, the items' shingles give the same leaks."""
+    from loomline.llm import leakage
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(80)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 30)))) for i in range(12)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(20)) + " " + " ".join(items[i % 12][1].split()[: rng.randrange(3, 30)])) for i in range(40)]
+    want = leaks(spark, docs, items)
+    monkeypatch.setattr(leakage, "BROADCAST_SHINGLES", 0)
+    assert want and leaks(spark, docs, items) == want

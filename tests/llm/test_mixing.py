@@ -93,3 +93,13 @@ def test_found_reaches_the_budgets(spark, monkeypatch):
     monkeypatch.setattr(queries, "_sizes", lambda spark, d: frame)
     monkeypatch.setattr(mixing, "allot", lambda node, amount, allot=mixing.allot: allotted.append(amount) or allot(node, amount))
     assert [r["source_name"] for r in queries.p7_found(spark, "").collect()] == ["b"] and allotted[0] == 40
+
+
+def test_redistribution_is_reported(spark):
+    frame = measured(spark, [(i, "asr_small", "en", 10) for i in range(10)] + [(100 + i, "asr_big", "en", 10) for i in range(100)] + [(300 + i, "notes", "en", 10) for i in range(90)])
+    wanted = mix(spark, [("asr_small", 0.25, 2), ("asr_big", 0.25, 1), ("notes", 0.5, 2)])
+    got = {r["source_name"]: r for r in mixing.redistribution(frame, wanted).collect()}
+    # the small source's shortage of 300 goes to its sibling, nothing to the other domain
+    assert {s: (r["domain"], r["target_tokens"], r["budget"], r["moved"]) for s, r in got.items()} == {"asr_small": ("speech", 500, 200, -300), "asr_big": ("speech", 500, 800, 300), "notes": ("notes", 1000, 1000, 0)}
+    other = {r["source_name"]: r["budget"] for r in mixing.redistribution(frame, wanted, domains={"asr_small": "a", "asr_big": "b"}).collect()}
+    assert other == {"asr_small": 200, "asr_big": 600, "notes": 1200}

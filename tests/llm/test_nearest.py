@@ -59,3 +59,16 @@ def test_ties_long_segments_and_not_a_number(spark):
 def test_empty_tables(spark):
     assert pairs(spark, [], [(1, "v", 0.0, 1.0, "x", 0), (2, "v", 0.0, 1e15, "x", 0)]) == ({}, 0)
     assert pairs(spark, [(1, "v", 0.0, "e", 1)], []) == ({}, 0)
+
+
+def test_wide_segments_both_ways(spark):
+    """Segments with absurd ends give the same pairs whether they are spread or joined with their entity's ranges."""
+    rng = random.Random(11)
+    segments = [(k, f"v{k % 3}", rng.uniform(0, 9000), None, "x", 0) for k in range(60)]
+    segments = [(k, v, a, rng.choice([a + 3, a + 4000, a + 9000, 1e15]) if k % 5 == 0 else a + 3, x, i) for k, v, a, _, x, i in segments]
+    events = [(k, f"v{k % 3}", rng.uniform(-50, 12_000), "x", 0) for k in range(200)] + [(900, "v0", 1e14, "x", 0), (901, "v9", 5.0, "x", 0)]
+    want = brute(events, segments)
+    lengths = {s: (b or a) - a for s, _, a, b, *_ in segments}
+    for wide in (0.0, 7200.0):
+        got, n = pairs(spark, events, segments, wide_s=wide)
+        assert n == len(got) == len(want) and {e: d for e, (_, d) in got.items()} == {e: d for e, (_, d) in want.items()} and lengths
