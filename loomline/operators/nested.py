@@ -1,10 +1,14 @@
 """Deeply nested records to related flat tables (structural-variant tables).
 
-A bottom-up tree automaton gives every JSON node a state that depends only on its label-to-state map, so that
-producers' layouts that differ in wrappers, key order, optional fields or encoding reach the same state. A
-top-down pass then routes each list of child objects by the label it stands under: spans under ``words``
-become word rows, text boxes under ``boxes`` become box rows. All subtype tables keep the common supertype keys
-(record_id, parent_pos, child_pos) and the name of the variant, the sorted labels the object really had.
+A bottom-up tree automaton gives every JSON node a state: a leaf by its type, a list by its members' states, an object by its map of
+labels to child states. So producers' layouts that differ in wrappers, key order, optional fields or encoding reach the same
+state; transitions are remembered by shape. A top-down pass then routes each list of child objects by its state and the label it
+stands under: spans become word rows, text boxes box rows. Each object's subtype is decided by the states of its fields, and
+``subtype_tables`` gives one typed table per subtype; all of them keep the common supertype keys (record_id, parent_pos, child_pos),
+by which they join their parent in ``parent_table``, and the name of the variant, the sorted labels the object really had.
+
+Lists of objects under any other label are lost to no one: ``object_table`` has a row for each object of any list of a record, with its
+place, its parent's place and its fields.
 
 Defined results
   * null or invalid payload: no rows. Only strict JSON counts: NaN and Infinity are invalid.
@@ -14,6 +18,8 @@ Defined results
   * null and blank children keep their place. They come out as rows only with ``keep_blank``.
   * repeated records give their rows once.
   * numbers as strings are read as numbers; other types become null.
+  * object_table: the fields that aren't lists of objects, as text; nested objects outside lists belong to the object around them,
+    their labels joined by dots. The root of a record is no row of it.
   * extra columns of the input, also of clashing names, are never read.
 """
 
@@ -23,11 +29,14 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: States of the automaton. A SPAN is the common supertype of words and segments, a PANEL that of boxes.
 NULL, SCALAR, NUMBER, TEXT, NUMBERS, POLYGON, SPAN, PANEL, SEGMENT, EVENT, SEGMENTS, EVENTS, SPANS, PANELS, WRAPPER, OTHER = range(16)
+_LEAF = {type(None): NULL, bool: SCALAR, int: NUMBER, float: NUMBER, str: TEXT}
+_MANY = {SEGMENT: SEGMENTS, EVENT: EVENTS, WRAPPER: WRAPPER, SPAN: SPANS, PANEL: PANELS}
+_NUMERIC = frozenset((NUMBER, TEXT, NULL))
 
 TEXT_LABELS = ("word", "text")
 CHILD_LABELS = {"words": "word", "boxes": "box"}
@@ -37,7 +46,7 @@ SPAN_LABELS = frozenset(("start", "end", "word"))
 PANEL_LABELS = frozenset(("bbox", "poly", "x1", "confidence"))
 
 CHILD_SCHEMA = (
-    "record_id bigint, child_kind string, parent_pos int, child_pos int, variant string, text string, start double, end double, "
+    "record_id bigint, child_kind string, parent_pos int, child_pos int, subtype string, variant string, text string, start double, end double, "
     "score double, x1 int, y1 int, x2 int, y2 int"
 )
 PARENT_SCHEMA = "record_id bigint, parent_kind string, parent_pos int, variant string, text string, start double, end double, frame_index bigint, n_children int"
@@ -73,60 +82,94 @@ def items(value) -> list:
 
 
 class TreeAutomaton:
-    """State of a node from its labels and its children's states; object transitions are memoised by shape."""
+    """State of a node from its labels and its children's states; object transitions are remembered by shape."""
 
     def __init__(self) -> None:
-        self.memo: dict[tuple, int] = {}
+        self.transitions: dict[tuple, tuple[int, str]] = {}
+        self.start_record()
+
+    def start_record(self) -> None:
+        """Forget the nodes of the record before; transitions stay."""
+        self.decoded: dict[str, object] = {}
+        self.seen: dict[int, tuple[object, tuple[int, str]]] = {}
+
+    def decode(self, value: str):
+        """decode() once per string, so that what it holds keeps its state."""
+        if value[:1] not in ("[", "{"):
+            return value
+        if value not in self.decoded:
+            self.decoded[value] = decode(value)
+        return self.decoded[value]
 
     def state(self, node) -> int:
-        if node is None:
-            return NULL
+        return self.classify(node)[0]
+
+    def subtype(self, node) -> str:
+        return self.classify(node)[1]
+
+    def classify(self, node) -> tuple[int, str]:
+        """(state, subtype); only spans and panels have a subtype, and a plain string is the bare one of both."""
         if isinstance(node, str):
-            inner = decode(node)
-            return TEXT if isinstance(inner, str) else self.state(inner)
-        if isinstance(node, bool):
-            return SCALAR
-        if isinstance(node, (int, float)):
-            return NUMBER
+            node = self.decode(node)
+        leaf = _LEAF.get(type(node))
+        if leaf is not None:
+            return leaf, "bare"
+        known = self.seen.get(id(node))
+        if known is not None:
+            return known[1]
         if isinstance(node, list):
-            return self.of_list({self.state(x) for x in node})
-        if node and all(k.isdecimal() for k in node):
-            return self.of_list({self.state(x) for x in node.values()})
-        # the children of a span or panel are leaves: its labels alone fix its state
-        shape = tuple(node)
-        if (known := self.memo.get(shape)) is not None:
-            return known
-        labels = node.keys()
-        if "words" in labels or ("index" in labels and SPAN_LABELS & labels):
-            result = SEGMENT
-        elif EVENT_LABELS & labels:
-            result = EVENT
-        elif any(x in labels for x in TEXT_LABELS) and PANEL_LABELS & labels and "start" not in labels:
-            result = PANEL
-        elif any(x in labels for x in TEXT_LABELS) and not LIST_LABELS.keys() & labels:
-            result = SPAN
+            result = self.of_list({self.state(x) for x in node}), ""
+        elif node and all(k.isdecimal() for k in node):
+            result = self.of_list({self.state(x) for x in node.values()}), ""
         else:
-            inner = {self.state(x) for x in node.values()}
-            result = WRAPPER if inner & {SEGMENTS, EVENTS, WRAPPER, SEGMENT, EVENT, SPANS, PANELS, PANEL} else OTHER
-            return result  # depends on the children, so it isn't remembered by shape
-        self.memo[shape] = result
+            shape = []
+            for label, value in node.items():
+                leaf = _LEAF.get(type(value))
+                if leaf is None or (leaf == TEXT and label not in TEXT_LABELS and value[:1] in ("[", "{")):
+                    leaf = self.classify(value)[0]
+                shape.append((label, leaf))
+            key = tuple(shape)
+            if (result := self.transitions.get(key)) is None:
+                result = self.transitions[key] = self.of_object(dict(shape))
+        self.seen[id(node)] = node, result  # with the node, so that its id isn't used again
         return result
 
+    @staticmethod
+    def of_object(kids: dict[str, int]) -> tuple[int, str]:
+        labels, states = kids.keys(), set(kids.values())
+        has_text = any(x in labels for x in TEXT_LABELS)
+        lists = LIST_LABELS.keys() & labels
+        if "words" in labels or (SPAN_LABELS & labels and ("index" in labels or (SPANS in states and not lists))):
+            return SEGMENT, ""
+        if EVENT_LABELS & labels:
+            return EVENT, ""
+        if has_text and PANEL_LABELS & labels and "start" not in labels:
+            if kids.get("bbox") == NUMBERS:
+                return PANEL, "box_bbox"
+            if kids.get("poly") == POLYGON:
+                return PANEL, "box_poly"
+            corners = all(kids.get(k, OTHER) in _NUMERIC for k in ("x1", "y1", "x2", "y2"))
+            return PANEL, "box_corners" if corners else "box_bare"
+        if has_text and not lists:
+            return SPAN, "word_timed" if kids.get("start", OTHER) in _NUMERIC else "word_bare"
+        # known by what it holds
+        return (WRAPPER if states & {SEGMENTS, EVENTS, WRAPPER, SEGMENT, EVENT, SPANS, PANELS, PANEL} else OTHER), ""
+
     @staticmethod
     def of_list(states: set[int]) -> int:
         states = states - {NULL}
         if not states:
             return OTHER
-        for one, many in ((SEGMENT, SEGMENTS), (EVENT, EVENTS), (WRAPPER, WRAPPER), (SPAN, SPANS), (PANEL, PANELS)):
+        for one in _MANY:
             if one in states:
-                return many
+                return _MANY[one]
         return NUMBERS if states == {NUMBER} else POLYGON if states == {NUMBERS} else OTHER
 
 
 def parents(automaton: TreeAutomaton, node, kind: str, label: str = "") -> Iterator[tuple[int, object]]:
     """(state, segment or event) in document order; None for a null among them."""
     if isinstance(node, str):
-        node = decode(node)
+        node = automaton.decode(node)
     if label in LIST_LABELS and isinstance(node, (list, dict)):
         for x in items(node):
             yield LIST_LABELS[label], x
@@ -151,18 +194,22 @@ def parents(automaton: TreeAutomaton, node, kind: str, label: str = "") -> Itera
         yield from parents(automaton, value, kind, key)
 
 
-def children(parent: dict, label: str) -> list:
-    """The child nodes under ``label``, through wrappers such as ocr.res."""
+def children(automaton: TreeAutomaton, parent: dict, label: str) -> list:
+    """The child nodes under ``label``, through wrappers such as ocr.res; without it, the list whose state is theirs."""
     value = parent.get(label)
-    if value is None:
-        for key in ("ocr", "res", "result", "data"):
-            inner = parent.get(key)
-            if isinstance(inner, str):
-                inner = decode(inner)
-            if isinstance(inner, dict) and (found := children(inner, label)):
-                return found
-        return []
-    return items(value)
+    if value is not None:
+        return items(automaton.decode(value) if isinstance(value, str) else value)
+    for key in ("ocr", "res", "result", "data"):
+        inner = parent.get(key)
+        if isinstance(inner, str):
+            inner = automaton.decode(inner)
+        if isinstance(inner, dict) and (found := children(automaton, inner, label)):
+            return found
+    wanted = SPANS if label == "words" else PANELS
+    for key, inner in parent.items():
+        if isinstance(inner, (list, dict)) and key not in LIST_LABELS and automaton.state(inner) == wanted:
+            return items(inner)
+    return []
 
 
 def number(value) -> float | None:
@@ -215,9 +262,10 @@ def shred_record(automaton: TreeAutomaton, kind: str, payload: str | None) -> It
     root = parse(payload)
     if root is None:
         return
+    automaton.start_record()
     for pos, (state, parent) in enumerate(parents(automaton, root, kind)):
         label = "words" if state == SEGMENT else "boxes"
-        yield CHILD_LABELS[label], pos, parent if isinstance(parent, dict) else None, children(parent, label) if isinstance(parent, dict) else []
+        yield CHILD_LABELS[label], pos, parent if isinstance(parent, dict) else None, children(automaton, parent, label) if isinstance(parent, dict) else []
 
 
 def child_tables(records: DataFrame, keep_blank: bool = False, keys_only: bool = False) -> DataFrame:
@@ -233,7 +281,7 @@ def child_tables(records: DataFrame, keep_blank: bool = False, keys_only: bool =
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows: list[list] = [[] for _ in range(4 if keys_only else 13)]
+                rows: list[list] = [[] for _ in range(4 if keys_only else 14)]
                 for rid, kind, payload in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     for child_kind, parent_pos, _, nodes in shred_record(automaton, kind or "", payload):
                         for child_pos, node in enumerate(nodes):
@@ -242,14 +290,17 @@ def child_tables(records: DataFrame, keep_blank: bool = False, keys_only: bool =
                                 continue
                             row: tuple = (rid, child_kind, parent_pos, child_pos)
                             if not keys_only:
+                                subtype = automaton.subtype(node) if isinstance(node, dict) else "bare"
+                                # an object that holds no child's form has a text all the same, and nothing else
+                                subtype = subtype if subtype.startswith(child_kind) else f"{child_kind}_bare"
                                 node = node if isinstance(node, dict) else {}
                                 score = number(node.get("probability", node.get("confidence")))
                                 box = rectangle(node) if child_kind == "box" else (None,) * 4
-                                row += (",".join(sorted(node)), text, number(node.get("start")), number(node.get("end")), score, *box)
+                                row += (subtype, ",".join(sorted(node)), text, number(node.get("start")), number(node.get("end")), score, *box)
                             for column, value in zip(rows, row):
                                 column.append(value)
                 if out_schema is None:
-                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 3, *[pa.int32()] * 4]
+                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 3, *[pa.int32()] * 4]
                     names = [x.split()[0] for x in schema.split(", ")]
                     out_schema = pa.schema(list(zip(names, kinds)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, out_schema)], schema=out_schema)
@@ -259,6 +310,105 @@ def child_tables(records: DataFrame, keep_blank: bool = False, keys_only: bool =
     return rows.distinct() if keys_only else rows.dropDuplicates(keys)
 
 
+_KEYS = ("record_id", "parent_pos", "child_pos", "variant", "text")
+_CORNERS = ("x1", "y1", "x2", "y2")
+#: The columns of each subtype's table. Corners are those of the box, however it was given.
+SUBTYPES = {
+    "word_timed": (*_KEYS, "start", "end", "probability"),
+    "word_bare": (*_KEYS, "probability"),
+    "box_corners": (*_KEYS, "confidence", *_CORNERS),
+    "box_bbox": (*_KEYS, "confidence", *_CORNERS),
+    "box_poly": (*_KEYS, "confidence", *_CORNERS),
+    "box_bare": (*_KEYS, "confidence"),
+}
+
+
+def subtype_table(children: DataFrame, subtype: str) -> DataFrame:
+    """The typed table of one subtype out of child_tables."""
+    named = {"probability": F.col("score").alias("probability"), "confidence": F.col("score").alias("confidence")}
+    return children.filter(F.col("subtype") == subtype).select(*(named.get(c, c) for c in SUBTYPES[subtype]))
+
+
+def subtype_tables(records: DataFrame, keep_blank: bool = False) -> dict[str, DataFrame]:
+    """A typed table per subtype. Records are parsed again for each; ``write_subtypes`` parses them once."""
+    children = child_tables(records, keep_blank)
+    return {subtype: subtype_table(children, subtype) for subtype in SUBTYPES}
+
+
+def write_subtypes(records: DataFrame, path: str, keep_blank: bool = False) -> None:
+    """All children in one pass, a folder per subtype; read_subtype gives a subtype's typed table."""
+    child_tables(records, keep_blank).write.mode("overwrite").partitionBy("subtype").parquet(path)
+
+
+def read_subtype(spark: SparkSession, path: str, subtype: str) -> DataFrame:
+    return subtype_table(spark.read.parquet(path), subtype)
+
+
+OBJECT_SCHEMA = "record_id bigint, table string, place string, parent_table string, parent_place string, pos int, variant string, fields map<string, string>"
+
+
+def object_rows(node, automaton: TreeAutomaton, table: str = "", place: str = "") -> Iterator[tuple]:
+    """(table, place, parent table, parent place, pos, variant, fields) of each object of a list below ``node``."""
+    waiting = [(node, table, place)]
+    while waiting:
+        node, label, at = waiting.pop()
+        lists: list[tuple[str, list]] = []
+        fields: dict[str, str] = {}
+        scalars(node, "", automaton, fields, lists)
+        for name, members in lists:
+            below = f"{label}.{name}" if label and name else label or name
+            for pos, x in enumerate(members):
+                x = automaton.decode(x) if isinstance(x, str) else x
+                if isinstance(x, dict):
+                    here = f"{at}/{name}:{pos}"
+                    own: dict[str, str] = {}
+                    scalars(x, "", automaton, own, [])
+                    yield below, here, label, at, pos, ",".join(sorted(x)), own
+                    waiting.append((x, below, here))
+                elif isinstance(x, list):
+                    waiting.append((x, below, f"{at}/{name}:{pos}"))
+
+
+def scalars(node, prefix: str, automaton: TreeAutomaton, fields: dict[str, str], lists: list[tuple[str, list]]) -> None:
+    """Put an object's plain fields into ``fields`` and its lists of objects into ``lists``, through objects outside lists."""
+    if isinstance(node, list):
+        lists.append((prefix, node))
+        return
+    for label, value in node.items() if isinstance(node, dict) else ():
+        name = f"{prefix}.{label}" if prefix else label
+        inner = automaton.decode(value) if isinstance(value, str) and label not in TEXT_LABELS else value
+        if isinstance(inner, dict) and inner and all(k.isdecimal() for k in inner):
+            inner = items(inner)
+        if isinstance(inner, list) and any(isinstance(x, (dict, list)) for x in inner) and automaton.state(inner) not in (NUMBERS, POLYGON):
+            lists.append((name, inner))
+        elif isinstance(inner, dict):
+            scalars(inner, name, automaton, fields, lists)
+        elif value is not None:
+            fields[name] = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def object_table(records: DataFrame) -> DataFrame:
+    """One row per object of any list of a record, whatever its label: OBJECT_SCHEMA."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = TreeAutomaton()
+        kinds = [pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
+        names = [x.split()[0] for x in OBJECT_SCHEMA.split(", ")[:7]] + ["fields"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                rows = []
+                for rid, payload in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    root = parse(payload)
+                    if root is not None:
+                        automaton.start_record()
+                        rows += [(rid, *row[:-1], list(row[-1].items())) for row in object_rows(root, automaton)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return records.select(F.col("record_id").cast("long"), "payload").filter("payload IS NOT NULL").mapInArrow(run, OBJECT_SCHEMA).dropDuplicates(["record_id", "place"])
+
+
 def parent_table(records: DataFrame) -> DataFrame:
     """One row per segment or event: the parents of child_tables, with their number of children."""
 
@@ -286,4 +436,4 @@ def parent_table(records: DataFrame) -> DataFrame:
 
 def variant_counts(records: DataFrame) -> DataFrame:
     """How often each structural variant of words and boxes occurs: the catalogue of subtype tables."""
-    return child_tables(records, keep_blank=True).groupBy("child_kind", "variant").agg(F.count("*").alias("n_children"), F.countDistinct("record_id").alias("n_records"))
+    return child_tables(records, keep_blank=True).groupBy("child_kind", "subtype", "variant").agg(F.count("*").alias("n_children"), F.countDistinct("record_id").alias("n_records"))

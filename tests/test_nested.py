@@ -65,3 +65,37 @@ def test_automaton_ignores_label_order():
         assert automaton.state(dict(items)) == nested.SEGMENT
         assert automaton.state({"a": [dict(items)]}) == nested.WRAPPER
     assert automaton.state([[1, 2], [3, 4]]) == nested.POLYGON and automaton.state({"text": "x", "bbox": [1]}) == nested.PANEL
+
+
+def test_states_come_from_the_children():
+    automaton = nested.TreeAutomaton()
+    spans = [{"text": "hi", "start": 1.0, "end": 2.0}]
+    assert automaton.state({"start": 1.0, "tokens": spans}) == nested.SEGMENT and automaton.state({"start": 1.0, "tokens": [1, 2]}) == nested.OTHER
+    assert automaton.subtype({"text": "x", "bbox": [1, 2, 3, 4]}) == "box_bbox" and automaton.subtype({"text": "x", "bbox": "none", "confidence": 0.5}) == "box_bare"
+    assert automaton.subtype({"text": "x", "poly": [[1, 2], [3, 4]]}) == "box_poly" and automaton.subtype({"text": "x", "x1": 1, "y1": 2, "x2": "3", "y2": None}) == "box_corners"
+    assert automaton.subtype({"word": "x", "start": "1"}) == "word_timed" and automaton.subtype({"word": "x", "start": [1]}) == "word_bare"
+
+
+def test_typed_subtype_tables(spark, tmp_path):
+    boxes = [{"text": "x", "confidence": 0.5, "bbox": [1, 2, 3, 4]}, {"text": "y", "poly": [[5, 6], [9, 8]]}, {"text": "z", "x1": 1, "y1": 2, "x2": 3, "y2": "4"}, "plain"]
+    rows = table(spark, [(1, "ocr", json.dumps({"events": [{"timestamp": 1, "boxes": boxes}]})), (2, "transcript", json.dumps([{"index": 0, "start": 0, "words": [word("a"), "b"]}]))])
+    tables = nested.subtype_tables(rows)
+    assert {k: t.count() for k, t in tables.items()} == {"word_timed": 1, "word_bare": 1, "box_corners": 1, "box_bbox": 1, "box_poly": 1, "box_bare": 1}
+    assert "x1" not in tables["word_timed"].columns and "start" not in tables["box_bbox"].columns
+    nested.write_subtypes(rows, str(tmp_path / "t"))
+    for k, t in tables.items():
+        again = nested.read_subtype(spark, str(tmp_path / "t"), k)
+        assert again.columns == t.columns and sorted(map(tuple, again.collect())) == sorted(map(tuple, t.collect()))
+    # every child joins its parent by the supertype keys
+    parents = nested.parent_table(rows)
+    assert all(t.join(parents, ["record_id", "parent_pos"], "left_anti").count() == 0 for t in tables.values())
+
+
+def test_lists_of_any_label_keep_their_parents(spark):
+    record = {"segments": [{"index": 0, "start": 0, "text": "a b", "tokens": [{"token": "hi", "p": 0.5}, {"token": "ho", "alt": [{"token": "oh"}]}]}], "meta": {"speakers": [{"name": "x", "of": {"site": "y"}}], "n": 3}, "grid": [[1, 2], [3, 4]]}
+    rows = {r["place"]: r for r in nested.object_table(table(spark, [(1, "transcript", json.dumps(record)), (1, "transcript", json.dumps(record)), (2, "ocr", "{broken"), (3, None, None), (4, None, "[[{\"a\": 1}]]")])).collect()}
+    assert set(rows) == {"/segments:0", "/segments:0/tokens:0", "/segments:0/tokens:1", "/segments:0/tokens:1/alt:0", "/meta.speakers:0", "/:0/:0"}
+    deep = rows["/segments:0/tokens:1/alt:0"]
+    assert (deep["table"], deep["parent_table"], deep["parent_place"], deep["fields"]) == ("segments.tokens.alt", "segments.tokens", "/segments:0/tokens:1", {"token": "oh"})
+    assert rows["/meta.speakers:0"]["fields"] == {"name": "x", "of.site": "y"} and rows["/segments:0/tokens:0"]["variant"] == "p,token"
+    assert all(r["parent_place"] in {*rows, "", "/:0"} for r in rows.values())
