@@ -91,9 +91,7 @@ def main(argv: list[str] | None = None) -> int:
         shape = "video string, timestamp double, duration double, type string, source string, text string, confidence double, rank int, seq bigint"
         stored = readers.read_timelines(spark, files) if files else spark.createDataFrame([], f"video string, {readers.TIMELINE}")
         known = stored.withColumns({"rank": F.lit(0), "seq": F.monotonically_increasing_id()}).select(*[x.split()[0] for x in shape.split(", ")])
-        found = search.with_fallback(known, _segments(spark, args.folder), _observations(spark, args.folder), args.query, args.type.split(",") if args.type else None)
-        if args.case_sensitive:
-            found = found.filter(F.contains("text", F.lit(args.query)))
+        found = search.with_fallback(known, _segments(spark, args.folder), _observations(spark, args.folder), args.query, args.type.split(",") if args.type else None, args.case_sensitive)
         n = 0
         for r in search.report_lines(found).orderBy("video", "timestamp", "seq").toLocalIterator():
             n += 1

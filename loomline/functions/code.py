@@ -48,7 +48,8 @@ def language_scores(text: Column) -> Column:
 
 def programming_language(text: Column) -> Column:
     """struct<language, score>: the best-scoring language, unknown below the threshold; blank text is unknown with 0."""
-    best = F.array_max(language_scores(text))
-    name = F.when(best["score"] < LANGUAGE_THRESHOLD, "unknown").otherwise(best["language"])
     blank = F.coalesce(strip(text), F.lit("")) == ""
-    return F.when(blank, F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("score"))).otherwise(F.struct(name.alias("language"), best["score"].alias("score")))
+    named = lambda best: F.struct(F.when(best["score"] < LANGUAGE_THRESHOLD, "unknown").otherwise(best["language"]).alias("language"), best["score"].alias("score"))
+    # a lambda's variable is computed once, however often it is used; the scores are some eighty expressions
+    found = F.get(F.transform(F.array(F.array_max(language_scores(text))), named), F.lit(0))
+    return F.when(blank, F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("score"))).otherwise(found)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from html import _invalid_charrefs
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,14 +104,51 @@ def caption_language_key(key: Column | str) -> Column:
     return F.split_part(F.translate(F.lower(_col(key)), "_", "-"), F.lit("-"), F.lit(1))
 
 
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)"
+
+
+def unescaped(text: Column | str) -> Column:
+    """Character references decoded as HTML does: by number, by name, and the old names without their semicolon, the longest first.
+
+    The names are those of Python's html.entities, held once as a constant map.
+    """
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string, string>")
+    t = _col(text)
+    # what Windows put at the places of control characters, and what stands for no character
+    odd = F.from_json(F.lit(json.dumps({str(k): v for k, v in _invalid_charrefs.items()})), "map<string, string>")
+
+    def number(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+)", 1)
+        short = F.length(F.regexp_replace(digits, "^0+", "")) <= 8
+        code = F.when(short, F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")).otherwise(F.lit(0x110000).cast("bigint"))
+        plain = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        control = code.between(1, 8) | code.between(14, 31) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF) | (code == 11) | ((code % 65536).isin(0xFFFE, 0xFFFF) & (code <= 0x10FFFF))
+        return F.when(F.map_contains_key(odd, code.cast("string")), F.try_element_at(odd, code.cast("string"))).when(control, F.lit("")).otherwise(plain)
+
+    def name(ref: Column) -> Column:
+        body = F.substr(ref, F.lit(2))
+        sizes = F.sequence(F.length(body), F.lit(1), F.lit(-1))
+        fits = F.get(F.filter(sizes, lambda n: F.map_contains_key(names, F.substr(body, F.lit(1), n))), F.lit(0))
+        return F.when(fits.isNull(), ref).otherwise(F.concat(F.try_element_at(names, F.substr(body, F.lit(1), fits)), F.substr(body, fits + 1)))
+
+    refs = F.regexp_extract_all(t, F.lit(f"({_ENTITY})"), 1)
+    parts = F.split(t, _ENTITY)
+    decoded = F.transform(refs, lambda r: F.when(r.startswith("&#"), number(r)).otherwise(name(r)))
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(decoded, i), F.lit("")))), "")
+
+
 def strip_cue_markup(line: Column | str) -> Column:
     """A caption line without tags, entities and invisible characters, blanks collapsed."""
     plain = F.regexp_replace(F.regexp_replace(_col(line), r"<\d{1,2}:\d{2}(?::\d{2})?\.\d+>", " "), "<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    plain = F.when(F.contains(plain, F.lit("&")), unescaped(plain)).otherwise(plain)
     return strip(F.regexp_replace(F.regexp_replace(plain, "[​﻿]", ""), f"{SPACE}+", " "))
 
 
+def now_iso() -> Column:
+    """The time of the query in the session's zone, to the second."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def snippet(text: Column | str, query: str, case_sensitive: bool = False, around: int = 40) -> Column:
     """The match with ``around`` characters on either side; an empty query matches at the begin."""
     t = _col(text)

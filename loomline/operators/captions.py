@@ -87,6 +87,14 @@ def playlist_entries(entries: DataFrame, start: int | None = None, end: int | No
     return rows.limit(most) if most is not None else rows
 
 
+def checked_entries(entries: DataFrame, **kw) -> DataFrame:
+    """playlist_entries, or an error where none is left."""
+    found = playlist_entries(entries.filter("id IS NOT NULL OR title IS NOT NULL OR url IS NOT NULL"), **kw)
+    if found.isEmpty():
+        raise ValueError("the playlist has no entries in this range")
+    return found
+
+
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 

@@ -6,9 +6,12 @@ import logging
 from collections.abc import Callable
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
+from loomline.session import materialize
+
 from . import fusion, sequence
 
 log = logging.getLogger(__name__)
@@ -70,13 +73,16 @@ class Registry:
         return [e for n, e in self._known.items() if n not in self._off and e.is_available()]
 
     def run_all(self, inputs: Inputs) -> DataFrame:
-        """Union of all enabled extractors, ordered; one that fails to plan gives nothing and is logged."""
+        """Union of all enabled extractors, ordered; one that fails, in planning or in its tasks, gives nothing and is logged.
+
+        Each extractor runs on its own and keeps its rows in the shared folder, so a failing task ends only its own extractor.
+        """
         parts = []
         for extractor in self.enabled():
             try:
-                parts.append(extractor.extract(inputs).select(*fusion.TIMELINE))
-            except (PySparkException, KeyError, ValueError) as problem:
-                log.warning("extractor %s failed: %s", extractor.name, problem)
+                parts.append(materialize(extractor.extract(inputs).select(*fusion.TIMELINE)))
+            except (PySparkException, Py4JJavaError, KeyError, ValueError) as problem:
+                log.warning("extractor %s failed: %s", extractor.name, str(problem).split("\n")[0])
         if not parts:
             raise ValueError("no extractor gave a result")
         return fusion.order_timeline(fusion.fuse(*parts))

@@ -98,6 +98,22 @@ def choose_source(candidates: DataFrame) -> DataFrame:
     return chosen.withColumn("status", F.when((F.col("kind") == "automatic") & (F.col("status") == "passed"), "review_required").otherwise(F.col("status")))
 
 
+def keep_retry(attempts: DataFrame) -> DataFrame:
+    """(key, attempt, status, score) of (key, attempt 0 or 1, status, score): the second attempt where the first didn't pass and the second
+    is no worse, else the first."""
+    of = lambda n: F.max(F.when(F.col("attempt") == n, F.struct("attempt", "status", "score")))
+    per = attempts.groupBy("key").agg(of(0).alias("a"), of(1).alias("b"))
+    retry = F.col("a").isNull() | (F.col("b").isNotNull() & (F.col("a.status") != "passed") & (F.col("b.score") >= F.col("a.score")))
+    return per.select("key", F.when(retry, F.col("b")).otherwise(F.col("a")).alias("x")).select("key", "x.*")
+
+
+def batch_exit_code(outcomes: DataFrame) -> DataFrame:
+    """(found, ok, failed, exit_code) of (ok boolean): 1 where nothing was found, 3 where any failed, else 0."""
+    sums = outcomes.agg(F.count("*").alias("found"), F.count_if("ok").alias("ok"))
+    failed = F.col("found") - F.col("ok")
+    return sums.select("found", "ok", failed.alias("failed"), F.when(F.col("found") == 0, 1).when(failed > 0, 3).otherwise(0).alias("exit_code"))
+
+
 def run_summary(statuses: DataFrame) -> DataFrame:
     """Counts over (status): processed is passed and review; with the exit code of the run."""
     n = lambda s: F.count_if(F.col("status") == s)

@@ -51,29 +51,39 @@ def change_class(n_added: Column, n_removed: Column) -> Column:
     return F.when((n_removed == 0) | (n_added > n_removed * 2), "addition").when((n_added == 0) | (n_removed > n_added * 2), "deletion").otherwise("modification")
 
 
-def version_chain(snapshots: DataFrame, slice_s: float = 600.0) -> DataFrame:
-    """(video, seq, timestamp, previous_timestamp, added, removed, change) of (video, seq, timestamp, text) that differ from the version before.
+def differing(snapshots: DataFrame, slice_s: float = 600.0) -> DataFrame:
+    """(video, region_key, seq, timestamp, previous_timestamp, prev_text, text) of the snapshots (video, seq, timestamp, text) that differ
+    from the one before of the same video and region; rows without a column ``region_key`` are of one region, 'main'.
 
-    A snapshot equal to the one before is equal to the last accepted one, so the row before is enough; only texts that differ
-    reach the diff.
+    A snapshot equal to the one before is equal to the last accepted one, so the row before is enough. Snapshots without a text or
+    time are no versions.
     """
-    rows = previous(snapshots, "video", ["timestamp", "seq"], ["text", "timestamp"], F.floor(F.col("timestamp") / slice_s))
-    differ = rows.filter("prev_text IS NOT NULL AND text IS NOT NULL AND prev_text != text").select("video", "seq", "timestamp", F.col("prev_timestamp").alias("previous_timestamp"), "prev_text", "text")
+    timed = snapshots.filter("text IS NOT NULL AND timestamp IS NOT NULL")
+    timed = timed.withColumn("region_key", F.coalesce("region_key", F.lit("main")) if "region_key" in snapshots.columns else F.lit("main"))
+    timed = timed.withColumn("_of", F.struct("video", "region_key"))
+    rows = previous(timed, "_of", ["timestamp", "seq"], ["text", "timestamp"], F.floor(F.col("timestamp") / slice_s))
+    return rows.filter("prev_text IS NOT NULL AND prev_text != text").select("video", "region_key", "seq", "timestamp", F.col("prev_timestamp").alias("previous_timestamp"), "prev_text", "text")
+
+
+def version_chain(snapshots: DataFrame, slice_s: float = 600.0) -> DataFrame:
+    """(video, region_key, seq, timestamp, previous_timestamp, added, removed, change) of the versions that ``differing`` finds: only
+    texts that differ reach the diff."""
+    differ = differing(snapshots, slice_s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [changed_lines(a, b) for a, b in zip(batch.column("prev_text").to_pylist(), batch.column("text").to_pylist())]
             lists = pa.list_(pa.string())
-            columns = [batch.column(c) for c in ("video", "seq", "timestamp", "previous_timestamp")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([a for a, _ in both], lists), pa.array([r for _, r in both], lists)], names=["video", "seq", "timestamp", "previous_timestamp", "added", "removed"])
+            columns = [batch.column(c) for c in ("video", "region_key", "seq", "timestamp", "previous_timestamp")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([a for a, _ in both], lists), pa.array([r for _, r in both], lists)], names=["video", "region_key", "seq", "timestamp", "previous_timestamp", "added", "removed"])
 
-    diffs = differ.mapInArrow(run, "video string, seq bigint, timestamp double, previous_timestamp double, added array<string>, removed array<string>")
+    diffs = differ.mapInArrow(run, "video string, region_key string, seq bigint, timestamp double, previous_timestamp double, added array<string>, removed array<string>")
     return diffs.filter((F.size("added") > 0) | (F.size("removed") > 0)).withColumn("change", change_class(F.size("added"), F.size("removed")))
 
 
 def evolution_lines(chain: DataFrame) -> DataFrame:
-    """(video, seq, line): each change as a line of a readable history."""
-    return chain.select("video", "seq", F.concat(F.lit("── t="), format_time("timestamp"), F.lit(" ──  ↓ "), "change", F.lit(" (+"), F.size("added"), F.lit(" -"), F.size("removed"), F.lit(")")).alias("line"))
+    """(video, region_key, seq, line): each change as a line of a readable history."""
+    return chain.select("video", "region_key", "seq", F.concat(F.lit("── t="), format_time("timestamp"), F.lit(" ──  ↓ "), "change", F.lit(" (+"), F.size("added"), F.lit(" -"), F.size("removed"), F.lit(")")).alias("line"))
 
 
 #: Fixed repair rules: what a cut line looks like, what it becomes, and what earlier texts must show.
@@ -85,6 +95,19 @@ REPAIRS = (
 )
 
 
+def evolutions(snapshots: DataFrame) -> DataFrame:
+    """(video, region_key, n_versions, n_changes, first_seen, last_seen, history): all versions of each region, as one row."""
+    chain = version_chain(snapshots)
+    keyed = snapshots.filter("text IS NOT NULL AND timestamp IS NOT NULL").withColumn("region_key", F.coalesce("region_key", F.lit("main")) if "region_key" in snapshots.columns else F.lit("main"))
+    seen = keyed.groupBy("video", "region_key").agg(F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    lines = evolution_lines(chain).groupBy("video", "region_key").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))
+    times = chain.groupBy("video", "region_key").agg(F.count("*").alias("n_changes"))
+    found = seen.join(times, ["video", "region_key"], "left").join(lines, ["video", "region_key"], "left")
+    history = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    changes = F.coalesce("n_changes", F.lit(0))
+    return found.select("video", "region_key", (changes + 1).alias("n_versions"), changes.alias("n_changes"), "first_seen", "last_seen", F.coalesce(history, F.lit("")).alias("history"))
+
+
 def with_earlier(snapshots: DataFrame, within_s: float = 60.0) -> DataFrame:
     """(video, seq, timestamp, text, earlier): with the texts of the same video that stand before (timestamp, seq) and at most
     ``within_s`` seconds back, in order. Rows without a video, time or text are no one's earlier text and have none.

@@ -24,7 +24,7 @@ def ordered(results: DataFrame) -> DataFrame:
     return results.orderBy("video", "timestamp", "seq")
 
 
-def with_fallback(timeline: DataFrame, segments: DataFrame, observations: DataFrame, query: str, types: list[str] | None = None) -> DataFrame:
+def with_fallback(timeline: DataFrame, segments: DataFrame, observations: DataFrame, query: str, types: list[str] | None = None, case_sensitive: bool = False) -> DataFrame:
     """Search each video's timeline, or, where it has none, its transcript and screen text.
 
     The type filter holds for the fallback too.
@@ -33,7 +33,7 @@ def with_fallback(timeline: DataFrame, segments: DataFrame, observations: DataFr
 
     have = timeline.select("video").distinct()
     rest = speech_events(segments).unionByName(screen_events(observations)).join(have, "video", "left_anti")
-    return search(timeline.unionByName(rest.select(*timeline.columns)), query, types)
+    return search(timeline.unionByName(rest.select(*timeline.columns)), query, types, case_sensitive)
 
 
 def result_line() -> Column:

@@ -58,6 +58,12 @@ def pick_caption_file(files: DataFrame) -> DataFrame:
     return rows.groupBy("video").agg(F.min_by("name", F.struct((~F.col("name").endswith(".vtt")).alias("other"), "name")).alias("name"))
 
 
+def pick_cached_audio(files: DataFrame) -> DataFrame:
+    """(video, name): the first of each video's cached audio files by name; partial downloads and captions don't count."""
+    rows = files.filter(~F.col("name").rlike(r"\.(part|ytdl|vtt|srt|json)$"))
+    return rows.groupBy("video").agg(F.min("name").alias("name"))
+
+
 def save(state: DataFrame, path: str) -> None:
     """Overwrite only the partitions of the videos in ``state``: writing again after a lost job gives the same."""
     state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(path)

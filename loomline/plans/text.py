@@ -12,8 +12,19 @@ from loomline.plans.timeline import sql_norm, sql_time
 from loomline.session import table
 
 
+def _read_events(spark: SparkSession, d: str) -> DataFrame:
+    """Screen events as they are stored, repeated rows too."""
+    return table(spark, d, "ocr_event").select(F.col("event_id").alias("doc"), "video_id", "timestamp_s", "text", "code_likelihood")
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ocr_event").select(F.col("event_id").alias("doc"), "video_id", "timestamp_s", "text", "code_likelihood").distinct()
+    """Each event once: for what needs the texts themselves in order or in groups."""
+    return _read_events(spark, d).dropDuplicates(["doc"])
+
+
+def _per_event(spark: SparkSession, d: str, *columns) -> DataFrame:
+    """What is computed of each event's text, repeated rows once: they go after the text is gone, so no text is shuffled."""
+    return _read_events(spark, d).select("doc", *columns).dropDuplicates(["doc"])
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +36,7 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("doc", text.normalize_screen_text("text").alias("normalized"))
+    return _per_event(spark, d, text.normalize_screen_text("text").alias("normalized"))
 
 
 def _videos(spark: SparkSession, d: str) -> DataFrame:
@@ -46,21 +57,20 @@ def format_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def looks_like_code(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("doc", code.looks_like_code(F.col("text")).alias("is_code"))
+    return _per_event(spark, d, code.looks_like_code(F.col("text")).alias("is_code"))
 
 
 def is_code_block(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("doc", code.is_code_block(F.col("text")).alias("is_code"))
+    return _per_event(spark, d, code.is_code_block(F.col("text")).alias("is_code"))
 
 
 def code_line_flags(spark: SparkSession, d: str) -> DataFrame:
-    lines = _events(spark, d).select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc", "pos", code.is_code_line(F.col("line")).alias("is_code"))
+    flags = _per_event(spark, d, F.transform(F.split("text", "\n"), code.is_code_line).alias("flags"))
+    return flags.select("doc", F.posexplode("flags").alias("pos", "is_code"))
 
 
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    best = code.programming_language(F.col("text"))
-    return _events(spark, d).withColumn("best", best).select("doc", F.col("best.language").alias("language"), F.col("best.score").alias("score"))
+    return _per_event(spark, d, code.programming_language(F.col("text")).alias("best")).select("doc", F.col("best.language").alias("language"), F.col("best.score").alias("score"))
 
 
 def code_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +91,16 @@ def code_diff_class(spark: SparkSession, d: str) -> DataFrame:
     return regions.version_chain(_snapshots(spark, d))
 
 
+def code_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots that differ from the version before, without the difference itself."""
+    return regions.differing(_snapshots(spark, d)).drop("prev_text", "text")
+
+
+def code_histories(spark: SparkSession, d: str) -> DataFrame:
+    """Each video's versions as one readable history."""
+    return regions.evolutions(_snapshots(spark, d))
+
+
 def code_evolution(spark: SparkSession, d: str) -> DataFrame:
     return regions.evolution_lines(regions.version_chain(_snapshots(spark, d)))
 
@@ -98,12 +118,12 @@ def _transcript_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    seg = table(spark, d, "transcript_segment").select("transcript_id", F.col("segment_id").alias("seq"), "text", "quality").distinct()
+    seg = table(spark, d, "transcript_segment").select("transcript_id", F.col("segment_id").alias("seq"), "text", "quality").dropDuplicates(["seq"])
     return quality.report(seg, "transcript_id", _transcript_facts(spark, d))
 
 
 def quality_tokens(spark: SparkSession, d: str) -> DataFrame:
-    seg = table(spark, d, "transcript_segment").select("transcript_id", "segment_id", "text").distinct()
+    seg = table(spark, d, "transcript_segment").select("transcript_id", "segment_id", "text").dropDuplicates(["segment_id"])
     return quality.tokens(seg, "transcript_id")
 
 
@@ -248,13 +268,13 @@ def recognition_speed(spark: SparkSession, d: str) -> DataFrame:
 
 def golden_eval(spark: SparkSession, d: str) -> DataFrame:
     """Code flags against what the block heuristic says: hits, misses and false alarms."""
-    rows = _events(spark, d).filter("code_likelihood IS NOT NULL").select("code_likelihood", code.is_code_block(F.col("text")).alias("said"))
+    rows = _per_event(spark, d, "code_likelihood", code.is_code_block(F.col("text")).alias("said")).filter("code_likelihood IS NOT NULL")
     return rows.agg(F.count_if(F.expr("code_likelihood AND said")).alias("hits"), F.count_if(F.expr("code_likelihood AND NOT said")).alias("misses"), F.count_if(F.expr("NOT code_likelihood AND said")).alias("false_alarms"))
 
 
 _ALL = (
     clean_text, normalize_text, safe_filename, slugify, format_times, looks_like_code, is_code_block, code_line_flags, detect_language, code_regions, region_boxes,
-    code_diff_class, code_evolution, temporal_vote, quality_tokens, quality_report, quality_status_rollup, run_summary, caption_vs_asr_choice, render_srt, render_vtt,
+    code_diff_class, code_evolution, code_versions, code_histories, temporal_vote, quality_tokens, quality_report, quality_status_rollup, run_summary, caption_vs_asr_choice, render_srt, render_vtt,
     render_markdown, vtt_cues, vtt_dedup, caption_choice, language_lookup, url_allowlist, watch_url, playlist_range, playlist_index, ocr_best_variant, bbox_union,
     mean_confidence, reading_order, stage_state, resume_anti_join, identity_changed, golden_eval, recognition_speed,
 )
@@ -346,7 +366,41 @@ _CUES = _SEG.rstrip() + f""", c AS (SELECT transcript_id AS doc, seq, floor(s0 *
  p AS (SELECT *, lag(lower(text)) OVER (PARTITION BY doc ORDER BY seq) AS before FROM n WHERE "end" > "start") """
 _BOX = "WITH b AS (SELECT DISTINCT event_id AS key, boxes FROM ocr_event WHERE boxes IS NOT NULL) "
 
+#: The rules as (pattern, replacement, what earlier texts must show), with this engine's way of naming groups.
+_RULES = [(pattern, new.replace("$", "\\"), voted) for pattern, new, voted in regions.REPAIRS]
+
+
+def _repaired() -> str:
+    out = "text"
+    for k, (pattern, new, _) in enumerate(_RULES):
+        out = f"CASE WHEN v{k} * 2 > n THEN regexp_replace({out}, {_q('(?m)' + pattern)}, {_q(new)}, 'g') ELSE {out} END"
+    return out
+
+
+_CODE_TEXTS = _EV.rstrip() + ", s AS (SELECT video_id AS video, doc AS seq, timestamp_s AS timestamp, text FROM ev WHERE code_likelihood) "
+_ORDERED_BOXES = """
+WITH RECURSIVE e AS (SELECT event_id AS key, any_value(boxes) AS boxes FROM ocr_event WHERE boxes IS NOT NULL GROUP BY event_id),
+ x AS (SELECT key, unnest(boxes) AS b, generate_subscripts(boxes, 1) - 1 AS pos FROM e),
+ o AS (SELECT key, pos, b.x1 AS x1, (b.y1 + b.y2) / 2 AS c, greatest(1, b.y2 - b.y1) AS h, row_number() OVER (PARTITION BY key ORDER BY (b.y1 + b.y2) / 2, b.x1, pos) AS k FROM x WHERE b.x1 + b.y1 + b.x2 + b.y2 IS NOT NULL),
+ f(key, k, lines) AS (
+  SELECT key, CAST(0 AS BIGINT), CAST([] AS STRUCT(c DOUBLE, h DOUBLE, m STRUCT(x1 INT, pos BIGINT)[])[]) FROM (SELECT DISTINCT key FROM o)
+  UNION ALL
+  SELECT key, k, CASE WHEN hit IS NULL THEN list_append(lines, {'c': CAST(c AS DOUBLE), 'h': CAST(h AS DOUBLE), 'm': [{'x1': CAST(x1 AS INT), 'pos': pos}]})
+    ELSE list_transform(lines, lambda l, i: CASE WHEN i = hit THEN {'c': l.c + c, 'h': l.h + h, 'm': list_append(l.m, {'x1': CAST(x1 AS INT), 'pos': pos})} ELSE l END) END
+  FROM (SELECT f.key, o.k, f.lines, o.c, o.h, o.x1, o.pos, list_max(list_filter(range(greatest(1, len(f.lines) - 4), len(f.lines) + 1), lambda i: abs(o.c - f.lines[i].c / len(f.lines[i].m)) <= 0.6 * greatest(o.h, f.lines[i].h / len(f.lines[i].m)))) AS hit
+    FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1)),
+ z AS (SELECT key, arg_max(lines, k) AS lines FROM f GROUP BY key), y AS (SELECT key, unnest(lines) AS l, generate_subscripts(lines, 1) AS n FROM z), w AS (SELECT key, n, unnest(l.m) AS m FROM y)
+"""
+
 SQL = {
+    "temporal_vote": _CODE_TEXTS + ", p AS (SELECT a.seq, a.text, count(b.seq) AS n, " + ", ".join(f"count(*) FILTER (regexp_matches(b.text, {_q('(?m)' + v)})) AS v{k}" for k, (_, _, v) in enumerate(_RULES))
+    + " FROM s a LEFT JOIN s b ON a.video = b.video AND b.timestamp >= a.timestamp - 60 AND (b.timestamp < a.timestamp OR b.timestamp = a.timestamp AND b.seq < a.seq) GROUP BY a.seq, a.text) SELECT seq AS doc, CASE WHEN n = 0 THEN text ELSE " + _repaired() + " END AS repaired FROM p",
+    "code_versions": _CODE_TEXTS + ", v AS (SELECT *, lag(text) OVER o AS before, lag(timestamp) OVER o AS previous_timestamp FROM s WHERE timestamp IS NOT NULL WINDOW o AS (PARTITION BY video ORDER BY timestamp, seq)) SELECT video, 'main' AS region_key, seq, timestamp, previous_timestamp FROM v WHERE before <> text",
+    "reading_order": _ORDERED_BOXES + "SELECT key, row_number() OVER (PARTITION BY key ORDER BY n, m.x1, m.pos) - 1 AS place, m.pos AS box_pos FROM w",
+    "region_boxes": _EV + f""", l AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM ev),
+ i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS island FROM l WHERE {_line('line')}), g AS (SELECT doc, min(pos) AS a, max(pos) AS b FROM i GROUP BY doc, island HAVING count(*) >= 2),
+ k AS (SELECT event_id AS doc, any_value(boxes) AS boxes FROM ocr_event GROUP BY 1), u AS (SELECT g.doc, a, boxes[a + 1 : b + 1] AS part FROM g LEFT JOIN k USING (doc))
+ SELECT doc, a AS start_line, """ + ", ".join(f"coalesce(list_{f}(list_transform(part, lambda x: coalesce(x.{c}, 0))), 0) AS {c}" for c, f in (("x1", "min"), ("y1", "min"), ("x2", "max"), ("y2", "max"))) + " FROM u",
     "clean_text": f"SELECT doc_id, {_strip("regexp_replace(replace(replace(text, chr(160), ' '), chr(13), ''), '[ \\t]+', ' ', 'g')")} AS cleaned FROM documents",
     "normalize_text": _EV + f"SELECT doc, {sql_norm('text')} AS normalized FROM ev",
     "safe_filename": _VID + f"SELECT DISTINCT video_id, coalesce(nullif(substr({_strip("regexp_replace(regexp_replace(title, '[^A-Za-z0-9._ -]+', '_', 'g'), '\\s+', ' ', 'g')")}, 1, 180), ''), 'video') AS name FROM v",

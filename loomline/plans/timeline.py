@@ -30,10 +30,6 @@ def timeline_event_id(spark: SparkSession, d: str) -> DataFrame:
     return timeline(spark, d).select("video", "type", "seq", fusion.event_id().alias("id"))
 
 
-def speech_context_range_join(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.speech_context(_observations(spark, d), _segments(spark, d))
-
-
 def speech_context_bucketed(spark: SparkSession, d: str) -> DataFrame:
     return fusion.speech_context(_observations(spark, d), _segments(spark, d), range_s=30.0)
 
@@ -169,7 +165,7 @@ _QUERIES_SEARCH = {
 QUERIES = {
     f.__name__: f
     for f in (
-        timeline_fusion, timeline_event_id, speech_context_range_join, speech_context_bucketed, search_fallback_sources, search_report, scene_changes,
+        timeline_fusion, timeline_event_id, speech_context_bucketed, search_fallback_sources, search_report, scene_changes,
         ocr_dedup_keep_last, bigram_similarity_consecutive, adaptive_sampling, dark_frame_filter, resume_high_water, extractor_union, golden_match,
     )
 } | {k: _search(*v) for k, v in _QUERIES_SEARCH.items()}
@@ -177,7 +173,6 @@ QUERIES = {
 SQL = {k: _search_sql(*v) for k, v in _QUERIES_SEARCH.items()} | {
     "timeline_fusion": _WITH + "SELECT video, timestamp, round(duration, 3) AS duration, type, source, text, confidence, seq FROM timeline",
     "timeline_event_id": _WITH + "SELECT video, type, seq, substr(sha256(video || '|' || type || '|' || source || '|' || CAST(seq AS VARCHAR)), 1, 12) AS id FROM timeline",
-    "speech_context_range_join": _CONTEXT,
     "speech_context_bucketed": _CONTEXT,
     "search_fallback_sources": _search_sql("the", ["speech"]).replace("SELECT video, timestamp, type, source, substr(coalesce(text, ''), 1, 200) AS text, ", "SELECT video, timestamp, "),
     "search_report": _WITH + f"""SELECT video, seq, CASE WHEN row_number() OVER (PARTITION BY video ORDER BY timestamp, seq) = 1 THEN '── ' || video || ' ──' END AS header,

@@ -221,3 +221,79 @@ def test_golden_matches(spark):
     assert got == {1: (7, 1.0, 0.25), 2: (None, None, None), 3: (11, 0.0, None)}
     sums = golden.scores(golden.match(marks, seen, 5.0), seen).first()
     assert (sums["recall"], sums["precision"]) == (2 / 3, 2 / 5)
+
+
+def test_versions_pass_over_nulls_and_keep_regions_apart(spark):
+    kind = "video string, region_key string, seq bigint, timestamp double, text string"
+    rows = [("v", "a", 1, 1.0, "a\nb"), ("v", "a", 2, 2.0, None), ("v", "a", 3, 3.0, "a\nc"), ("v", "b", 4, 2.5, "x"), ("v", "b", 5, 3.5, "x\ny"), ("v", None, 6, 9.0, "z"), ("v", "a", 7, None, "lost"), (None, "a", 8, 1.0, "q")]
+    frame = spark.createDataFrame(rows, kind)
+    got = {r["seq"]: (r["region_key"], r["previous_timestamp"], r["added"], r["removed"], r["change"]) for r in regions.version_chain(frame, slice_s=1.0).collect()}
+    assert got == {3: ("a", 1.0, ["c"], ["b"], "modification"), 5: ("b", 2.5, ["y"], [], "addition")}
+    every = {(r["video"], r["region_key"]): r for r in regions.evolutions(frame).collect()}
+    assert every["v", "a"]["n_versions"] == 2 and every["v", "main"]["n_changes"] == 0 and every["v", "b"]["history"].endswith("(+1 -0)") and (None, "a") in every
+    assert regions.version_chain(frame.limit(0)).count() == 0
+
+
+def level_brute(boxes):
+    """Lines of boxes by the rule as written: newest of the last five lines that is level."""
+    lines = []
+    for i in sorted(range(len(boxes)), key=lambda i: ((boxes[i]["y1"] + boxes[i]["y2"]) / 2, boxes[i]["x1"], i)):
+        c, h = (boxes[i]["y1"] + boxes[i]["y2"]) / 2, max(1, boxes[i]["y2"] - boxes[i]["y1"])
+        hits = [m for m in range(max(0, len(lines) - 5), len(lines)) if abs(c - sum(x[1] for x in lines[m]) / len(lines[m])) <= 0.6 * max(h, sum(x[2] for x in lines[m]) / len(lines[m]))]
+        if hits:
+            lines[hits[-1]].append((i, c, h))
+        else:
+            lines.append([(i, c, h)])
+    return [x[0] for line in lines for x in sorted(line, key=lambda x: (boxes[x[0]]["x1"], x[0]))]
+
+
+def test_reading_order_against_brute_force(spark):
+    rng = random.Random(5)
+    pages = []
+    for k in range(40):
+        boxes_ = [(x := rng.randrange(200), y := rng.randrange(60), x + 20, y + rng.randrange(0, 25)) for _ in range(rng.randrange(0, 14))]
+        pages.append((k, boxes_))
+    frame = spark.createDataFrame(pages + [(99, None), (98, [(1, None, 2, 3), (0, 0, 5, 5)])], "key bigint, boxes array<struct<x1: int, y1: int, x2: int, y2: int>>")
+    got = {}
+    for r in boxes.in_reading_order(frame).orderBy("key", "place").collect():
+        got.setdefault(r["key"], []).append(r["box_pos"])
+    for k, boxes_ in pages:
+        assert got.get(k, []) == level_brute([dict(zip(("x1", "y1", "x2", "y2"), b)) for b in boxes_])
+    assert got[98] == [1] and 99 not in got
+
+
+def test_region_rectangles(spark):
+    b = [(1, 2, 3, 4), (0, 5, 9, 9), (7, 1, 8, 2)]
+    texts = spark.createDataFrame([(1, 0, 1), (1, 2, 9), (2, 0, 1), (1, 5, 6)], "doc bigint, start_line int, end_line int")
+    frame = spark.createDataFrame([(1, b)], "doc bigint, boxes array<struct<x1: int, y1: int, x2: int, y2: int>>")
+    got = {(r["doc"], r["start_line"]): (r["x1"], r["y1"], r["x2"], r["y2"]) for r in regions.region_boxes(texts, frame).collect()}
+    assert got == {(1, 0): (0, 2, 9, 9), (1, 2): (7, 1, 8, 2), (2, 0): (0, 0, 0, 0), (1, 5): (0, 0, 0, 0)}
+
+
+def test_character_references(spark):
+    import html
+    from html.entities import html5
+
+    from loomline.functions import text as text_
+
+    rng = random.Random(1)
+    cases = ["a &amp; b", "&lt;x&gt;", "&#39;&#x41;&#65 z", "&notit; &notin;", "&amp;amp;", "&", "&;", "&zzz;", "&#128;&#x80;", "&#0;", "&#xD800;", "&#1114112;", "&#99999999999;", "&#11;", "&#1;", "&copy2024", "&ampx", "", "no"]
+    cases += [f"x&{rng.choice(sorted(html5))}y" for _ in range(100)]
+    got = spark.createDataFrame([(c,) for c in [*cases, None]], "t string").select("t", text_.unescaped("t").alias("u")).collect()
+    assert [(r["t"], r["u"]) for r in got[:-1]] == [(c, html.unescape(c)) for c in cases] and got[-1]["u"] is None
+
+
+def test_an_extractor_whose_tasks_fail(spark):
+    r = extractors.Registry()
+    seg = spark.createDataFrame([("v", 1, 1.0, 2.0, "a")], SEG)
+    bad = lambda i: fusion.speech_events(i["segments"]).withColumn("text", extractors.fusion.F.raise_error(extractors.fusion.F.lit("no model")).cast("string"))
+    r.register(extractors.StreamExtractor("speech", lambda i: fusion.speech_events(i["segments"])))
+    r.register(extractors.StreamExtractor("failing", bad))
+    assert [x["text"] for x in r.run_all({"segments": seg}).collect()] == ["a"]
+
+
+def test_case_sensitive_search_reads_whole_texts(spark):
+    seg = spark.createDataFrame([("v", 1, 10.0, 12.0, "x" * 300 + " Needle")], SEG)
+    obs = observations(spark, [])
+    none = fusion.speech_events(seg).limit(0)
+    assert search.with_fallback(none, seg, obs, "Needle", case_sensitive=True).count() == 1 and search.with_fallback(none, seg, obs, "needle", case_sensitive=True).count() == 0
