@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html import _invalid_charrefs
 from html.entities import html5
 
@@ -77,6 +78,12 @@ def slugify(value: Column | str, max_length: int = 70) -> Column:
     return F.coalesce(F.nullif(ends(F.substring(ends(dashed), 1, max_length)), F.lit("")), F.lit("video"))
 
 
+def slugify_name(value: str | None, max_length: int = 70) -> str:
+    """slugify of one string, for names of folders."""
+    dashed = re.sub("[^a-z0-9]+", "-", (value or "").strip().lower()).strip("-")
+    return dashed[:max_length].strip("-") or "video"
+
+
 def normalize_screen_text(c: Column | str) -> Column:
     """For comparison only: lower case, plain quotes, single blanks, none around code punctuation."""
     plain = F.translate(F.lower(_col(c)), "“”‘’", "\"\"''")
