@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.operators import fusion, search
-from loomline.plans import general, streams, text, timeline
+from loomline.plans import files, general, pieces, streams, text, timeline
 
-_MODULES = (general, timeline, text, streams)
+_MODULES = (general, timeline, text, streams, files, pieces)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
