@@ -119,7 +119,13 @@ def unescaped(text: Column | str) -> Column:
 
     The names are those of Python's html.entities, held once as a constant map.
     """
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string, string>")
+    # a map is searched from its begin, so names lie in maps by their first letter, and old ones in a small map of their own
+    by_letter: dict[str, dict[str, str]] = {}
+    for known, char in html5.items():
+        by_letter.setdefault(known[0], {})[known] = char
+    names = F.from_json(F.lit(json.dumps(by_letter)), "map<string, map<string, string>>")
+    old = F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if not k.endswith(";")})), "map<string, string>")
+    longest = max(len(k) for k in html5 if not k.endswith(";"))
     t = _col(text)
     # what Windows put at the places of control characters, and what stands for no character
     odd = F.from_json(F.lit(json.dumps({str(k): v for k, v in _invalid_charrefs.items()})), "map<string, string>")
@@ -134,9 +140,11 @@ def unescaped(text: Column | str) -> Column:
 
     def name(ref: Column) -> Column:
         body = F.substr(ref, F.lit(2))
-        sizes = F.sequence(F.length(body), F.lit(1), F.lit(-1))
-        fits = F.get(F.filter(sizes, lambda n: F.map_contains_key(names, F.substr(body, F.lit(1), n))), F.lit(0))
-        return F.when(fits.isNull(), ref).otherwise(F.concat(F.try_element_at(names, F.substr(body, F.lit(1), fits)), F.substr(body, fits + 1)))
+        whole = F.try_element_at(F.try_element_at(names, F.substr(body, F.lit(1), F.lit(1))), body)
+        sizes = F.sequence(F.least(F.length(body), F.lit(longest)), F.lit(1), F.lit(-1))
+        fits = F.get(F.filter(sizes, lambda n: F.map_contains_key(old, F.substr(body, F.lit(1), n))), F.lit(0))
+        begun = F.transform(F.array(fits), lambda n: F.when(n.isNull(), ref).otherwise(F.concat(F.try_element_at(old, F.substr(body, F.lit(1), n)), F.substr(body, n + 1))))
+        return F.coalesce(whole, F.get(begun, F.lit(0)))
 
     refs = F.regexp_extract_all(t, F.lit(f"({_ENTITY})"), 1)
     parts = F.split(t, _ENTITY)
