@@ -86,6 +86,8 @@ class TreeAutomaton:
 
     def __init__(self) -> None:
         self.transitions: dict[tuple, tuple[int, str]] = {}
+        #: Of objects that hold leaves alone, by labels and types: the result, and the labels whose strings could hold containers.
+        self.flat: dict[tuple, tuple[tuple[int, str], tuple[str, ...]]] = {}
         self.start_record()
 
     def start_record(self) -> None:
@@ -114,6 +116,10 @@ class TreeAutomaton:
         leaf = _LEAF.get(type(node))
         if leaf is not None:
             return leaf, "bare"
+        if isinstance(node, dict):
+            flat = self.flat.get((tuple(node), tuple(map(type, node.values()))))
+            if flat is not None and not any(node[k][:1] in ("[", "{") for k in flat[1]):
+                return flat[0]
         known = self.seen.get(id(node))
         if known is not None:
             return known[1]
@@ -131,6 +137,10 @@ class TreeAutomaton:
             key = tuple(shape)
             if (result := self.transitions.get(key)) is None:
                 result = self.transitions[key] = self.of_object(dict(shape))
+            types = tuple(map(type, node.values()))
+            texts = tuple(k for k, v in node.items() if type(v) is str and k not in TEXT_LABELS)
+            if all(t in _LEAF for t in types) and not any(node[k][:1] in ("[", "{") for k in texts):
+                self.flat[tuple(node), types] = result, texts
         self.seen[id(node)] = node, result  # with the node, so that its id isn't used again
         return result
 
