@@ -110,3 +110,23 @@ def frame_signatures(frames: DataFrame) -> DataFrame:
 
     rows = frames.filter("pixels IS NOT NULL AND height > 0 AND width > 0").selectExpr("video", "cast(seq as bigint) as seq", "cast(timestamp as double) as timestamp", "cast(height as int) as height", "cast(width as int) as width", "pixels")
     return rows.mapInArrow(run, "video string, seq bigint, timestamp double, signature array<float>, luma double")
+
+
+def enhanced_frames(frames: DataFrame, variants: tuple[str, ...] = tuple(VARIANTS)[1:]) -> DataFrame:
+    """(video, seq, variant, height, width, pixels) of (video, seq, height, width, pixels): a row per frame and variant, of one channel
+    unless it is the original. Frames without pixels are left out; an unknown variant is an error at once."""
+    if unknown := set(variants) - set(VARIANTS):
+        raise ValueError(f"unknown variant {min(unknown)!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                height, width, pixels = (batch.column(c)[row].as_py() for c in ("height", "width", "pixels"))
+                frame = as_frame(height, width, pixels)
+                made = [prepare(frame, v).tobytes() for v in variants]
+                n = len(variants)
+                same = lambda c: pa.array([batch.column(c)[row].as_py()] * n, batch.schema.field(c).type)
+                yield pa.RecordBatch.from_arrays([same("video"), same("seq"), pa.array(variants, pa.string()), same("height"), same("width"), pa.array(made, pa.binary())], names=["video", "seq", "variant", "height", "width", "pixels"])
+
+    rows = frames.filter("pixels IS NOT NULL AND height > 0 AND width > 0").selectExpr("video", "cast(seq as bigint) as seq", "cast(height as int) as height", "cast(width as int) as width", "pixels")
+    return rows.mapInArrow(run, "video string, seq bigint, variant string, height int, width int, pixels binary")

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import bigrams, gram_similarity, normalize_screen_text
+from loomline.operators.grouped import map_groups
+from loomline.session import materialize
 
 
 def previous(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], slice_of: Column, prefix: str = "prev_") -> DataFrame:
@@ -57,35 +60,102 @@ def after_mark(rows: DataFrame, marks: DataFrame) -> DataFrame:
 def keep_changed(observations: DataFrame, similarity: float = 0.965, heartbeat: float = 3.0, min_chars: int = 4, slice_s: float = 600.0) -> DataFrame:
     """(video, seq, timestamp) of the observations kept: unlike the last kept one, or ``heartbeat`` seconds after it.
 
-    Similarity isn't transitive, so the comparison is with the last kept row. But a row that comes ``heartbeat`` or more
-    after its neighbour is kept whatever was kept before: each such gap cuts a video into episodes that don't depend on
-    each other. Episodes, not videos, are the streams that workers read in order, with the last kept row as only state.
+    Similarity isn't transitive, so the comparison is with the last kept row, and a window function can't give it. But what a time
+    slice keeps depends on all before it through one row only: the last one kept, which lies less than ``heartbeat`` before the
+    slice's first row, or else that row is kept whatever came before. So every slice of a video is decided on its own, for each row
+    that could be the last kept one before it (their ways soon meet); then the slices' few possible states are chained in order,
+    and each slice's rows are those of the state that came true.
     """
+    if slice_s < heartbeat:
+        raise ValueError("a slice must be as long as the heartbeat")
     norm = normalize_screen_text(F.coalesce("text", F.lit("")))
-    rows = observations.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) >= min_chars).select("video", "seq", "timestamp", norm.alias("norm"))
-    rows = previous(rows, "video", ["timestamp", "seq"], ["timestamp"], F.floor(F.col("timestamp") / slice_s))
-    starts = F.coalesce(F.col("timestamp") - F.col("prev_timestamp") >= heartbeat, F.lit(True))
-    # an episode is named by its first row; rows of a slice take the running maximum, slices carry theirs on
-    rows = rows.withColumns({"begin": F.when(starts, F.struct("timestamp", "seq")), "slice": F.floor(F.col("timestamp") / slice_s)})
-    per_slice = rows.groupBy("video", "slice").agg(F.max("begin").alias("top"))
-    carried = per_slice.withColumn("carry", F.max("top").over(Window.partitionBy("video").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
-    inside = Window.partitionBy("video", "slice").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(carried, ["video", "slice"]).withColumn("episode", F.coalesce(F.max("begin").over(inside), F.col("carry")))
+    rows = observations.filter((F.length(F.trim(F.coalesce("text", F.lit("")))) >= min_chars) & F.col("timestamp").isNotNull()).select("video", F.col("seq").cast("long"), F.col("timestamp").cast("double"), norm.alias("norm"))
+    own = F.floor(F.col("timestamp") / slice_s)
+    # a row at the end of a slice is seen by the next one too
+    ends = F.col("timestamp") > (own + 1) * slice_s - heartbeat
+    rows = rows.withColumn("own", own).withColumn("slice", F.explode(F.when(ends, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    rows = rows.select("video", "slice", "timestamp", "seq", "norm", (F.col("own") == F.col("slice")).alias("is_own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keeper = object(), None
+        now, held = None, []
+        types = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.float64())
         for batch in batches:
             out: list[tuple] = []
-            for video, begin, at, seq, norm in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (video, begin) != now:
-                    now, keeper = (video, begin), Keeper(similarity, heartbeat)
-                if keeper.offer(at, norm):
-                    out.append((video, seq, at))
+            for video, slice_, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (video, slice_) != now:
+                    if held:
+                        out += [(*now, *x) for x in slice_ways(held, similarity, heartbeat)]
+                    now, held = (video, slice_), []
+                held.append(tuple(row))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.float64()))], names=["video", "seq", "timestamp"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=WAYS)
+        if held and (out := [(*now, *x) for x in slice_ways(held, similarity, heartbeat)]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=WAYS)
 
-    rows = rows.select("video", F.col("episode.seq").alias("begin"), "timestamp", "seq", "norm")
-    return rows.repartition("video", "begin").sortWithinPartitions("video", "begin", "timestamp", "seq").mapInArrow(run, "video string, seq bigint, timestamp double")
+    sorted_rows = rows.repartition("video", "slice").sortWithinPartitions("video", "slice", "timestamp", "seq")
+    ways = materialize(sorted_rows.mapInArrow(run, "video string, slice bigint, way int, part string, seq bigint, timestamp double"))
+    taken = map_groups(ways.filter("part != 'keep'"), ["video"], chained_ways, "video string, slice bigint, taken int", order=["slice"])
+    kept = ways.filter("part = 'keep'").join(taken, [ways["video"].eqNullSafe(taken["video"]), ways["slice"] == taken["slice"]])
+    return kept.filter("way = taken OR way = -2").select(ways["video"], "seq", "timestamp")
+
+
+WAYS = ["video", "slice", "way", "part", "seq", "timestamp"]
+
+
+def slice_ways(rows: list[tuple[float, int, str, bool]], similarity: float, heartbeat: float) -> Iterator[tuple[int, str, int | None, float | None]]:
+    """(way, part, seq, timestamp) of one slice's ordered rows (timestamp, seq, text, is_own).
+
+    A way is what happens after one possible last kept row: 'in' names that row (way -1 has none), 'keep' the rows it keeps (way -2
+    stands for all ways), and 'out' the last kept row at the slice's end.
+    """
+    own = [r for r in rows if r[3]]
+    if not own:
+        return
+    before = [r for r in rows if not r[3] and own[0][0] - r[0] < heartbeat]
+    yield -1, "in", None, None
+    for way, (at, seq, _, _) in enumerate(before):
+        yield way, "in", seq, at
+    # ways whose last kept row is the same are one from there on
+    last: dict[tuple | None, list[int]] = {None: [-1], **{r: [way] for way, r in enumerate(before)}}
+    for row in own:
+        keepers = [r for r in last if r is None or row[0] - r[0] >= heartbeat or similarity_of(r[2], row[2]) < similarity]
+        if keepers:
+            ways = [w for r in keepers for w in last.pop(r)]
+            for way in ways if last else (-2,):
+                yield way, "keep", row[1], row[0]
+            last[row] = ways
+    for row, ways in last.items():
+        for way in ways:
+            yield way, "out", row[1] if row else None, row[0] if row else None
+
+
+def chained_ways(ways: pa.Table) -> pa.Table:
+    """(video, slice, taken): the way that each slice takes, for whole videos with their slices in order."""
+    out: list[tuple] = []
+    state = None
+    entries: dict[tuple | None, int] = {}
+    ends: dict[int, tuple] = {}
+    now = None
+
+    def close(state: tuple | None) -> tuple | None:
+        way = entries.get(state, -1)
+        out.append((*now, way))
+        return ends.get(way)
+
+    for v, slice_, way, part, seq, at in zip(*(ways.column(c).to_pylist() for c in WAYS)):
+        if (v, slice_) != now:
+            if now is not None:
+                state = close(state)
+            if now is None or v != now[0]:
+                state = None
+            now, entries, ends = (v, slice_), {}, {}
+        if part == "in":
+            entries[(seq, at) if seq is not None else None] = way
+        else:
+            ends[way] = (seq, at)
+    if now is not None:
+        close(state)
+    return pa.table({"video": pa.array([o[0] for o in out], pa.string()), "slice": pa.array([o[1] for o in out], pa.int64()), "taken": pa.array([o[2] for o in out], pa.int32())})
 
 
 def similarity_of(a: str, b: str) -> float:
@@ -128,11 +198,11 @@ class Sampler:
         self.normal, self.active, self.window, self.threshold = normal, active, window, threshold
         self.next_at, self.active_until, self.last = 0.0, -1.0, None
 
-    def offer(self, at: float, value: float) -> float | None:
-        """The difference to the last sample if this frame is sampled, else None."""
+    def offer(self, at: float, value) -> float | None:
+        """The difference to the last sample if this frame is sampled, else None; a value is a number or a signature."""
         if at + 0.01 < self.next_at:
             return None
-        difference = 1.0 if self.last is None else abs(value - self.last)
+        difference = 1.0 if self.last is None else float(np.abs(np.subtract(value, self.last)).mean()) if isinstance(value, np.ndarray) else abs(value - self.last)
         if difference >= self.threshold:
             self.active_until = max(self.active_until, at + self.window)
         self.last = value
@@ -141,25 +211,35 @@ class Sampler:
 
 
 def adaptive_sample(frames: DataFrame, normal: float = 2.0, active: float = 0.5, window: float = 8.0, threshold: float = 0.065) -> DataFrame:
-    """(video, seq, timestamp, difference) of the sampled frames of (video, seq, timestamp, value).
+    """(video, seq, timestamp, difference) of the sampled frames of (video, seq, timestamp, value), value a number or a signature.
 
+    With a column ``duration``, a video's sampling ends with the first sample at or after it.
     Which frames are compared depends on all before, so a video is one ordered stream; rows pass through a worker
     batch by batch and only the sampler's state is held, however long the video.
     """
 
+    is_signature = dict(frames.dtypes)["value"].startswith("array")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, state = object(), None
+        video, state, over = object(), None, False
         for batch in batches:
             out: list[tuple] = []
-            for v, seq, at, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            values = batch.column(3)
+            for i, (v, seq, at, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
                 if state is None or v != video:
-                    video, state = v, Sampler(normal, active, window, threshold)
+                    video, state, over = v, Sampler(normal, active, window, threshold), False
+                if over:
+                    continue
+                value = values[i].values.to_numpy(zero_copy_only=False).astype(np.float64) if is_signature else values[i].as_py()
                 if (difference := state.offer(at, value)) is not None:
                     out.append((v, seq, at, difference))
+                    over = end is not None and at >= end
             if out:
                 types = (batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["video", "seq", "timestamp", "difference"])
 
     kind = dict(frames.dtypes)["video"]
-    rows = frames.select("video", F.col("seq").cast("long"), F.col("timestamp").cast("double"), F.col("value").cast("double")).filter("timestamp IS NOT NULL AND value IS NOT NULL")
+    end = F.col("duration").cast("double") if "duration" in frames.columns else F.lit(None).cast("double")
+    value = F.col("value") if is_signature else F.col("value").cast("double")
+    rows = frames.select("video", F.col("seq").cast("long"), F.col("timestamp").cast("double"), value, end.alias("end")).filter("timestamp IS NOT NULL AND value IS NOT NULL")
     return rows.repartition("video").sortWithinPartitions("video", "timestamp", "seq").mapInArrow(run, f"video {kind}, seq bigint, timestamp double, difference double")

@@ -46,3 +46,21 @@ def test_activity_episodes(spark):
 
     rows = spark.createDataFrame([("v", s) for s in (0, 3, 9, 30, 33)] + [("w", 1)], "video string, s int").selectExpr("video", "timestamp_seconds(s) as at")
     assert sorted((r["video"], r["n_changes"]) for r in activity_episodes(rows, "at").collect()) == [("v", 2), ("v", 3), ("w", 1)]
+
+
+def test_enhanced_frames(spark):
+    rows = [("v", 1, 8, 40, bytearray(range(256)) + bytearray(704)), ("v", 2, 8, 40, None)]
+    frame = spark.createDataFrame(rows, "video string, seq bigint, height int, width int, pixels binary")
+    got = {r["variant"]: r for r in images.enhanced_frames(frame, ("original", "sharpen", "threshold", "clahe")).collect()}
+    assert {k: len(r["pixels"]) for k, r in got.items()} == {"original": 960, "sharpen": 320, "threshold": 320, "clahe": 320}
+    assert bytes(got["sharpen"]["pixels"]) == images.prepare(images.as_frame(8, 40, bytes(rows[0][4])), "sharpen").tobytes()
+    with pytest.raises(ValueError):
+        images.enhanced_frames(frame, ("blur",))
+
+
+def test_sampler_on_signatures_until_the_end(spark):
+    rows = [("v", i, i * 0.25, [0.0, 0.0] if i < 20 else [1.0, 0.0], 9.0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "video string, seq bigint, timestamp double, value array<double>, duration double")
+    got = sequence.adaptive_sample(frame, threshold=0.4).orderBy("timestamp").collect()
+    plain = sequence.adaptive_sample(frame.selectExpr("video", "seq", "timestamp", "value[0] / 2 as value"), threshold=0.4).orderBy("timestamp").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in plain if r["timestamp"] <= got[-1]["timestamp"]] and got[-1]["timestamp"] >= 9.0 and got[-2]["timestamp"] < 9.0

@@ -297,3 +297,19 @@ def test_case_sensitive_search_reads_whole_texts(spark):
     obs = observations(spark, [])
     none = fusion.speech_events(seg).limit(0)
     assert search.with_fallback(none, seg, obs, "Needle", case_sensitive=True).count() == 1 and search.with_fallback(none, seg, obs, "needle", case_sensitive=True).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dense_videos_are_kept_slice_by_slice(spark, seed):
+    """No gap in the whole video: slices depend on each other through the last kept row alone."""
+    rng = random.Random(seed)
+    pool = ["hello world", "hello word", "hello worlds", "hello old", "other text"] if seed % 2 else ["the same text"]
+    rows, t = [], 0.0
+    for k in range(400):
+        t += rng.choice([0.1, 0.2, 0.7])
+        rows.append((None if seed == 5 else "v", k, round(t, 3), rng.choice(pool)))
+    rows += [("w", 1000 + k, 3.0 * k, "w text") for k in range(5)]
+    got = {(r["video"], r["seq"]) for r in sequence.keep_changed(observations(spark, rows), 0.8, 3.0, slice_s=rng.choice([3.0, 5.0, 20.0])).collect()}
+    assert got == keep_brute([(v or "", *rest) for v, *rest in rows], 0.8, 3.0) if seed != 5 else {(v or "", s) for v, s in got} == keep_brute([(v or "", *rest) for v, *rest in rows], 0.8, 3.0)
+    with pytest.raises(ValueError):
+        sequence.keep_changed(observations(spark, rows), heartbeat=9.0, slice_s=5.0)
