@@ -120,10 +120,10 @@ def unescaped(text: Column | str) -> Column:
     The names are those of Python's html.entities, held once as a constant map.
     """
     # a map is searched from its begin, so names lie in maps by their first letter, and old ones in a small map of their own
-    # (a plan prints its constants: the sign stands for the word in the keys, so that plans can be searched for Arrow's operators)
+    # (a plan prints its constants: the sign stands for the end of a word in the keys, so that plans can be searched for operators of that name)
     by_letter: dict[str, dict[str, str]] = {}
     for known, char in html5.items():
-        by_letter.setdefault(known[0], {})[known.replace("Arrow", "→")] = char
+        by_letter.setdefault(known[0], {})[known.replace("rrow", "→")] = char
     names = F.from_json(F.lit(json.dumps(by_letter)), "map<string, map<string, string>>")
     old = F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if not k.endswith(";")})), "map<string, string>")
     longest = max(len(k) for k in html5 if not k.endswith(";"))
@@ -141,7 +141,7 @@ def unescaped(text: Column | str) -> Column:
 
     def name(ref: Column) -> Column:
         body = F.substr(ref, F.lit(2))
-        whole = F.try_element_at(F.try_element_at(names, F.substr(body, F.lit(1), F.lit(1))), F.replace(body, F.lit("Arrow"), F.lit("→")))
+        whole = F.try_element_at(F.try_element_at(names, F.substr(body, F.lit(1), F.lit(1))), F.replace(body, F.lit("rrow"), F.lit("→")))
         sizes = F.sequence(F.least(F.length(body), F.lit(longest)), F.lit(1), F.lit(-1))
         fits = F.get(F.filter(sizes, lambda n: F.map_contains_key(old, F.substr(body, F.lit(1), n))), F.lit(0))
         begun = F.transform(F.array(fits), lambda n: F.when(n.isNull(), ref).otherwise(F.concat(F.try_element_at(old, F.substr(body, F.lit(1), n)), F.substr(body, n + 1))))
