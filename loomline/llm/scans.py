@@ -64,6 +64,9 @@ MIN_HEAD = 5
 PAGE_STEP = 20
 #: A word stays a hyphenated one where the joined word is so many times rarer than each half.
 JOINED_RARITY = 1000
+#: A true word is more than MUCH_OFTENER times as frequent as its misread form, or OFTENER times if it has LONG_WORD letters: the longer a
+#: word, the less likely two true words differ by confusions alone.
+MUCH_OFTENER, OFTENER, LONG_WORD = 4, 2, 7
 #: A word with digits inside letters, and no known true word, is misread if it makes up at most this share of all words.
 RARE_SHARE = 1e-5
 
@@ -227,7 +230,7 @@ def misread_words(words: DataFrame) -> DataFrame:
                     if _NUMBER_READ.match(w):
                         out.append((w, w.replace("l", "1").replace("o", "0")))
                         continue
-                    fix = next((v for m, v in known if (m > 4 * n or (odd and m >= n)) and v.isalpha() and len(v) > 2 and misread_as(v, w)), None)
+                    fix = next((v for m, v in known if (m > MUCH_OFTENER * n or (len(v) >= LONG_WORD and m >= OFTENER * n) or (odd and m >= n)) and v.isalpha() and len(v) > 2 and misread_as(v, w)), None)
                     if fix is not None or (n <= rare and _SIGN_INSIDE.match(w) and sum(c.isalpha() for c in w) >= 3 and w.translate(_PLAIN).isalpha()):
                         out.append((w, fix))
             if out:

@@ -112,3 +112,11 @@ def test_counts_of_any_size_and_both_ways(spark, monkeypatch):
     assert {(e % 1000, p, n) for e, p, n in found(spark, many)} == want
     monkeypatch.setattr(scans, "BROADCAST_WORDS", 0)
     assert found(spark, data) == want
+
+
+def test_long_words_need_less_frequency(spark):
+    said = ["The raskomora stands by the modern river and the lid."] * 3 + ["The raskornora stands by the modem river and the licl."]
+    data = [(i, f"v{i}", 0, t, False, "s", 1) for i, t in enumerate(said)]
+    got = {(r["word"], r["fix"]) for r in scans.misread_words(scans.vocabulary(spark.createDataFrame(data, SCHEMA))).collect()}
+    # three against one is enough for nine letters, not for three or six
+    assert got == {("raskornora", "raskomora")}
