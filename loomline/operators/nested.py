@@ -357,26 +357,25 @@ def read_subtype(spark: SparkSession, path: str, subtype: str) -> DataFrame:
 OBJECT_SCHEMA = "record_id bigint, table string, place string, parent_table string, parent_place string, pos int, variant string, fields map<string, string>"
 
 
-def object_rows(node, automaton: TreeAutomaton, table: str = "", place: str = "") -> Iterator[tuple]:
+def object_rows(node, automaton: TreeAutomaton) -> Iterator[tuple]:
     """(table, place, parent table, parent place, pos, variant, fields) of each object of a list below ``node``."""
-    waiting = [(node, table, place)]
+    lists: list[tuple[str, list]] = []
+    scalars(node, "", automaton, {}, lists)
+    waiting = [(lists, "", "")]
     while waiting:
-        node, label, at = waiting.pop()
-        lists: list[tuple[str, list]] = []
-        fields: dict[str, str] = {}
-        scalars(node, "", automaton, fields, lists)
+        lists, label, at = waiting.pop()
         for name, members in lists:
             below = f"{label}.{name}" if label and name else label or name
             for pos, x in enumerate(members):
                 x = automaton.decode(x) if isinstance(x, str) else x
+                if not isinstance(x, (dict, list)):
+                    continue
+                here, own, inner = f"{at}/{name}:{pos}", {}, []
+                scalars(x, "", automaton, own, inner)
                 if isinstance(x, dict):
-                    here = f"{at}/{name}:{pos}"
-                    own: dict[str, str] = {}
-                    scalars(x, "", automaton, own, [])
                     yield below, here, label, at, pos, ",".join(sorted(x)), own
-                    waiting.append((x, below, here))
-                elif isinstance(x, list):
-                    waiting.append((x, below, f"{at}/{name}:{pos}"))
+                if inner:
+                    waiting.append((inner, below, here))
 
 
 def scalars(node, prefix: str, automaton: TreeAutomaton, fields: dict[str, str], lists: list[tuple[str, list]]) -> None:
@@ -397,13 +396,15 @@ def scalars(node, prefix: str, automaton: TreeAutomaton, fields: dict[str, str],
             fields[name] = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def object_table(records: DataFrame) -> DataFrame:
-    """One row per object of any list of a record, whatever its label: OBJECT_SCHEMA."""
+def object_table(records: DataFrame, as_json: bool = False) -> DataFrame:
+    """One row per object of any list of a record, whatever its label: OBJECT_SCHEMA, or with the fields as the text of a JSON object.
+
+    Records are made distinct before they are taken apart, as all their objects are more than the record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = TreeAutomaton()
-        kinds = [pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
-        names = [x.split()[0] for x in OBJECT_SCHEMA.split(", ")[:7]] + ["fields"]
+        kinds = [pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -412,11 +413,15 @@ def object_table(records: DataFrame) -> DataFrame:
                     root = parse(payload)
                     if root is not None:
                         automaton.start_record()
-                        rows += [(rid, *row[:-1], list(row[-1].items())) for row in object_rows(root, automaton)]
+                        rows += [(rid, *row[:-1], dumps(row[-1])) for row in object_rows(root, automaton)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return records.select(F.col("record_id").cast("long"), "payload").filter("payload IS NOT NULL").mapInArrow(run, OBJECT_SCHEMA).dropDuplicates(["record_id", "place"])
+    names = [x.split()[0] for x in OBJECT_SCHEMA.split(", ")[:7]] + ["fields"]
+    dumps = json.JSONEncoder(ensure_ascii=False).encode
+    once = records.select(F.col("record_id").cast("long"), "payload").filter("payload IS NOT NULL").dropDuplicates(["record_id"])
+    found = once.mapInArrow(run, OBJECT_SCHEMA.replace("map<string, string>", "string"))
+    return found if as_json else found.withColumn("fields", F.from_json("fields", "map<string, string>"))
 
 
 def parent_table(records: DataFrame) -> DataFrame:

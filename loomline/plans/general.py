@@ -41,7 +41,7 @@ def p1_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_objects(spark: SparkSession, d: str) -> DataFrame:
     """Every object of any list with its parent's place."""
-    return nested.object_table(table(spark, d, "raw_record")).withColumn("fields", F.to_json("fields"))
+    return nested.object_table(table(spark, d, "raw_record"), as_json=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_children": p1_children, "p1_parents": p1_parents, "p1_variants": p1_variants, "p1_words": p1_words, "p1_boxes": p1_boxes, "p1_objects": p1_objects}
