@@ -154,8 +154,19 @@ def evidence_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("content").cast("string").alias("content"))
 
 
+def found_videos(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as files of several suffixes in a folder, its subfolder and its output folder: the recordings among them."""
+    folder = _folder(spark).removeprefix("file:").replace("///", "/")
+    key = F.col("n_nationkey")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".mp4", ".MKV", ".txt", ".Mov", ".vtt")]), (key % 5 + 1).cast("int"))
+    rows = table(spark, d, "nation").select(F.concat("n_name", suffix).alias("name"), F.lit(1).alias("height"), F.lit(1).alias("width"), F.col("n_name").cast("binary").alias("pixels"), (key % 3).alias("place"))
+    for place, below in enumerate(("", "/more", "/output")):
+        frames.write_evidence(rows.filter(F.col("place") == place), folder + below, lambda h, w, pixels: pixels).write.format("noop").mode("overwrite").save()
+    return readers.find_videos(spark, f"file://{folder}", "output").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+
+
 _ALL = (
-    video_durations, frame_times, scene_sample_frames, evidence_names, polygon_boxes, typed_words, timeline_details, skipped_before, batch_exit_code, retry_choice, playlist_first, change_classes,
+    found_videos, video_durations, frame_times, scene_sample_frames, evidence_names, polygon_boxes, typed_words, timeline_details, skipped_before, batch_exit_code, retry_choice, playlist_first, change_classes,
     optional_numbers, cue_markup, caption_times, track_families, caption_file_choice, cached_audio, activity_sessions, frame_rows, evidence_files,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -164,6 +175,7 @@ _CLIPS = "WITH c AS (SELECT o_orderkey AS video, o_orderkey % 41 AS frames, CAST
 _BOXED = "WITH e AS (SELECT event_id, any_value(boxes) AS boxes FROM ocr_event WHERE boxes IS NOT NULL GROUP BY 1), b AS (SELECT event_id, unnest(boxes) AS b, generate_subscripts(boxes, 1) - 1 AS pos FROM e) "
 _FILES = "WITH f AS (SELECT l_orderkey AS video, l_suppkey || ['.srt', '.vtt', '.m4a', '.webm.part', '.webm', '.m4a.ytdl', '.info.json'][l_linenumber] AS name FROM lineitem WHERE l_linenumber <= 7) "
 SQL = {
+    "found_videos": "SELECT n_name || ['.mp4', '.MKV', '.txt', '.Mov', '.vtt'][n_nationkey % 5 + 1] AS name, length(n_name) AS length FROM nation WHERE n_nationkey % 5 IN (0, 1, 3) AND n_nationkey % 3 <> 2",
     "video_durations": _CLIPS + "SELECT video, CASE WHEN frames > 0 AND fps > 0 THEN frames / fps WHEN probed > 0 THEN probed ELSE 0.0 END AS duration FROM c",
     "frame_times": _CLIPS + "SELECT video, frame_index, round(frame_index / fps, 6) AS timestamp FROM t",
     "scene_sample_frames": _CLIPS + "SELECT video, frame_index FROM t WHERE (frame_index + 1) % greatest(1, CAST(floor(fps * 0.5) AS BIGINT)) = 0",

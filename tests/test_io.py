@@ -230,3 +230,15 @@ def test_frames(spark, tmp_path):
     written = frames.write_evidence(shots, str(tmp_path / "evidence"), lambda h, w, p: p).collect()
     assert sorted(r["name"] for r in written) == ["000000_00000000.000s.jpg", "000001_00000000.033s.jpg", "000002_00000000.067s.jpg"]
     assert (tmp_path / "evidence" / "000002_00000000.067s.jpg").read_bytes() == bytes([2] * 6)
+
+
+def test_commands_run_their_own_stage(spark, folder):
+    out, source = folder / "own", str(folder / "in")
+    assert cli.main(["transcribe", source, str(out)]) in (0, 2)
+    assert (out / "quality").exists() and not (out / "screen").exists() and not (out / "timeline").exists()
+    assert cli.main(["export", source, str(out)]) == 0  # without the screen stage, every screen event is exported
+    assert spark.read.parquet(str(out / "timeline")).filter("type != 'speech'").count() == 3 and not (out / "screen").exists()
+    assert cli.main(["ocr", source, str(out)]) == 0 and spark.read.parquet(str(out / "screen")).count() == 2
+    assert cli.main(["export", source, str(out), "--force"]) == 0
+    assert spark.read.parquet(str(out / "timeline")).filter("type != 'speech'").count() == 2
+    assert cli.main(["run", str(folder / "nothing"), str(folder / "none")]) == 1
