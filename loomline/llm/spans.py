@@ -295,18 +295,28 @@ def window_hashes(df: DataFrame, k: int, span: int) -> DataFrame:
     """(doc_id, window) of each window of ``span`` characters around one of the seeds of (doc_id, text, hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(ids: list, found: list) -> pa.RecordBatch:
+            owner = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
+            return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "window"])
+
         for batch in batches:
+            ids, found, held = [], [], 0
             for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits"))):
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
                 h = kmer_hashes(codes, span)
+                # of the windows that hold the seed, others may have another smallest; they are some text's shared windows or nobody's
+                at = np.array([p for hit in hits for p in hit["places"]], np.int64)
                 marks = np.zeros(len(h) + 1, np.int64)
-                for hit in hits:
-                    # of the windows that hold the seed, others may have another smallest; they are some text's shared windows or nobody's
-                    at = np.array(hit["places"], np.int64)
-                    np.add.at(marks, np.maximum(at - (span - k), 0), 1)
-                    np.add.at(marks, np.minimum(at + 1, len(h)), -1)
-                found = np.unique(h[np.cumsum(marks)[:-1] > 0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc, np.int64)), pa.array(found.view(np.int64))], names=["doc_id", "window"])
+                np.add.at(marks, np.maximum(at - (span - k), 0), 1)
+                np.add.at(marks, np.minimum(at + 1, len(h)), -1)
+                ids.append(doc)
+                found.append(np.unique(h[np.cumsum(marks)[:-1] > 0]))
+                held += len(found[-1])
+                if held >= SCAN_CHARS:
+                    yield flush(ids, found)
+                    ids, found, held = [], [], 0
+            if ids:
+                yield flush(ids, found)
 
     return df.select("doc_id", "text", "hits").mapInArrow(run, "doc_id bigint, window bigint")
 
@@ -343,14 +353,18 @@ def compared(documents: DataFrame, span: int = 300, k: int = 100, gap: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), *[pa.int32()] * 7]
         for batch in batches:
+            rows: list[tuple] = []
             for row in range(batch.num_rows):
                 a, b, x, y, hits_a, hits_b = (batch.column(c)[row].as_py() for c in ("doc_a", "doc_b", "text_a", "text_b", "hits_a", "hits_b"))
                 places = [{h["seed"]: h["places"] for h in hits} for hits in (hits_a, hits_b)]
-                rows: list[tuple] = []
                 for n, matches in enumerate(chained_matches(x, y, *places, k, gap)):
                     rows += [(a, b, i, i + m, j, j + m, m, 1, None) for i, j, m in matches if m >= span]
                     rows.append((a, b, *align_chain(x, y, matches), len(matches), n))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+                if len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     schema = "doc_a bigint, doc_b bigint, " + ", ".join(f"{c} int" for c in names[2:])
     return pairs.select("doc_a", "doc_b", "text_a", "text_b", "hits_a", "hits_b").mapInArrow(run, schema), holders, members
